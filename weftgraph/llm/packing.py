@@ -64,13 +64,27 @@ def price(values: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, np.n
     return float(best[room]), counts
 
 
+def _inverse(matrix: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan by whole rows: small, and free of the linear-algebra library's threads."""
+    m = len(matrix)
+    both = np.hstack([matrix, np.eye(m)])
+    for k in range(m):
+        p = k + int(np.abs(both[k:, k]).argmax())
+        both[[k, p]] = both[[p, k]]
+        both[k] /= both[k, k]
+        factors = both[:, k].copy()
+        factors[k] = 0
+        both -= np.multiply.outer(factors, both[k])
+    return both[:, m:]
+
+
 def column_generation(sizes: np.ndarray, demand: np.ndarray, room: int, gap: float = GAP, most: int = 4000) -> tuple[np.ndarray, np.ndarray]:
     """Patterns (one a column) and how often each is used, at least meeting the demand."""
     m = len(sizes)
     basis = np.diag((room // sizes).astype(float))
     inverse = np.diag(1.0 / np.diag(basis))
-    used = inverse @ demand
-    least = demand @ sizes / room  # no plan has fewer sequences than the tokens fill
+    used = (inverse * demand).sum(axis=1)
+    least = float((demand * sizes).sum()) / room  # no plan has fewer sequences than the tokens fill
     for step in range(most):
         if used.sum() <= (1 + gap) * least:
             break
@@ -78,7 +92,7 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, room: int, gap: flo
         worth, pattern = price(duals, sizes, room)
         if worth <= 1 + 1e-9 or used.sum() * (1 - 1 / worth) <= gap * used.sum():
             break
-        turn = inverse @ pattern
+        turn = (inverse * pattern).sum(axis=1)
         rises = turn > 1e-9
         if not rises.any():
             break
@@ -86,12 +100,12 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, room: int, gap: flo
         out = int(ratios.argmin())
         basis[:, out] = pattern
         if step % 200 == 199:
-            inverse = np.linalg.inv(basis)
+            inverse = _inverse(basis)
         else:
             row = inverse[out] / turn[out]
-            inverse -= np.outer(turn, row)
+            inverse -= np.multiply.outer(turn, row)
             inverse[out] = row
-        used = np.maximum(inverse @ demand, 0)
+        used = np.maximum((inverse * demand).sum(axis=1), 0)
     return basis, used
 
 
