@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import read_table
-from . import packing, simhash
+from . import packing, quality, simhash
 
 
 def tokenizer_file(name: str) -> str:
@@ -17,6 +17,11 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.rules(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *(c.split()[0] for c in quality.OUTPUT.split(", ") if c.split()[0] not in ("js_characters", "js_words", "kept")), "kept", "js_characters", "js_words")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
