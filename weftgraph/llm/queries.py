@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import read_table
-from . import packing, quality, simhash
+from . import packing, quality, simhash, toxicity
+from .common import bucket
 
 
 def tokenizer_file(name: str) -> str:
@@ -17,6 +18,13 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    field = toxicity.train(docs, toxicity.trainable(read_table(spark, sf_dir, "labels")))
+    found = toxicity.score(docs, field)
+    return found.select("doc_id", (bucket("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "toxic_tokens", "toxic_spans")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.rules(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", *(c.split()[0] for c in quality.OUTPUT.split(", ") if c.split()[0] not in ("js_characters", "js_words", "kept")), "kept", "js_characters", "js_words")
