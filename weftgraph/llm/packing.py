@@ -32,6 +32,7 @@ from pyspark.sql.window import Window
 
 from ..runtime import materialize, small_batches
 from .common import groups
+from .wordbpe import word_bpe
 
 CAPACITY = 2048
 WIDTH = 8
@@ -158,8 +159,6 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from weftgraph.llm.wordbpe import word_bpe
-
         bpe = word_bpe(tokenizer)
         for batch, texts in groups(batches, "text"):
             ids, rows = batch.column(0).to_pylist(), []
