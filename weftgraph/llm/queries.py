@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import read_table
-from . import kdtree, packing, quality, simhash, toxicity
+from . import kdtree, packing, quality, simhash, suffixtree, toxicity
 from .common import bucket
 
 
@@ -25,6 +25,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (bucket("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "toxic_tokens", "toxic_spans")
 
 
+def op5_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixtree.language_model(read_table(spark, sf_dir, "documents"))
+
+
 def op7_kdtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdtree.top_k(read_table(spark, sf_dir, "embeddings"))
 
