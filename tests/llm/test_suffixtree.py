@@ -31,17 +31,14 @@ def test_contexts_help_on_held_out_text_and_sum_to_one(spark):
     docs = spark.createDataFrame(rows, SCHEMA)
     found = suffixtree.language_model(docs).where("held_out").collect()
     assert found and all(r.score > r.base_score / 3 for r in found)
-    words = suffixtree.counts(docs)
-    c = {r.word: r.n for r in words.collect()}
-    n, v = sum(c.values()), len(c)
-    tree = suffixtree.grow(docs, words, n, v)
-    assert len(tree.contexts)
     import numpy as np
 
-    roots = np.array([(c[w] + 1) / (n + v + 1) for w in tree.symbols])
+    model = suffixtree.learn(docs)
+    tree, roots = model.tree, model.roots
+    assert len(tree.contexts)
     for state in range(len(tree.contexts)):
         p = tree.probability(np.full(len(roots), state), np.arange(len(roots)), roots)
-        unknown = tree.probability(np.array([state]), np.array([-1]), np.array([1 / (n + v + 1)]))
+        unknown = tree.probability(np.array([state]), np.array([-1]), np.array([1 - roots.sum()]))
         assert abs(p.sum() + unknown[0] - 1) < 1e-9
 
 

@@ -12,12 +12,13 @@ smoothed by absolute discounting: what a state takes from its own counts is
 given back to its parent's distribution, so each sums to one.  A token is
 scored in the longest retained suffix of what precedes it.
 
-Sizes.  The root grows with the corpus and is never broadcast: documents are
-dealt into blocks of about ``BLOCK_BYTES``, each block looks its own distinct
-words up by one equi-join, and gets the answers with its texts in a cogroup.
-States are at most 2 / P_MIN and stored pairs of state and next symbol at most
-2 / P_PAIR, whatever the corpus (each stands for that share of all tokens at
-least), so they are sent to every executor.
+Sizes.  The text is read once, in blocks of about ``BLOCK_BYTES`` that a task
+gathers: each block leaves its distinct words with counts, and its tokens as
+places in that list.  The root's counts grow with the corpus and are never
+broadcast: blocks look their own words up by one equi-join and get the answers
+in a cogroup.  States are at most 2 / P_MIN and stored pairs of state and next
+symbol at most 2 / P_PAIR, whatever the corpus (each stands for that share of
+all tokens at least), so they are sent to every executor.
 
 Defined results: a null or empty text is the end mark alone; repeated rows are
 scored, and learned from, as often as they occur; without training rows every
@@ -27,7 +28,7 @@ table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,70 +41,78 @@ from ..runtime import materialize, small_batches
 
 P_MIN, P_PAIR = 2e-5, 1e-6
 MIN_KL, MIN_GAIN, LEAST, DISCOUNT = 0.01, 10.0, 3, 0.7
-BLOCK_BYTES = 24_000_000
+BLOCK_BYTES = 16_000_000
 #: Stands for the end of a text among words, and can't be one.
 END = " "
-NONE, START = -1, -2
+NONE = -1
+_NULL_ID = -(1 << 63)
 
 
 # ---- blocks of texts as arrays ----------------------------------------------
 
 
-@dataclass
-class Block:
-    """Tokens of texts in a row: place of each in ``words``; the last one of a text is the end."""
-
-    words: pa.Array
-    codes: np.ndarray
-    ends: np.ndarray  # one past each text's end mark
-
-    @staticmethod
-    def of(texts: pa.Array) -> Block:
-        plain = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
-        lists = pc.ascii_split_whitespace(plain)
-        flat, owner = lists.flatten(), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-        real = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
-        coded = flat.filter(pa.array(real)).dictionary_encode()
-        sizes = np.bincount(owner[real], minlength=len(lists))
-        ends = (sizes + 1).cumsum()
-        codes = np.full(int(ends[-1]) if len(ends) else 0, len(coded.dictionary), dtype=np.int64)
-        inner = np.ones(len(codes), dtype=bool)
-        inner[ends - 1] = False
-        codes[inner] = coded.indices.to_numpy(zero_copy_only=False)
-        return Block(pa.concat_arrays([coded.dictionary, pa.array([END], pa.large_string())]), codes, ends)
-
-    def before(self, codes: np.ndarray, steps: int) -> np.ndarray:
-        """What stands so many tokens before each, START at a text's begin and NONE before that."""
-        out = np.full(len(codes), NONE, dtype=np.int64)
-        if len(codes) > steps:
-            out[steps:] = codes[:-steps]
-        begins = np.concatenate([[0], self.ends[:-1]]).astype(np.int64)
-        for k in range(steps):
-            at = begins + k
-            out[at[at < self.ends]] = START if k == steps - 1 else NONE
-        return out
-
-
-def _slices(batches: Iterator[pa.RecordBatch], most: int = 8_000_000) -> Iterator[pa.Array]:
-    """The last column in pieces of about so many bytes."""
-    held, size = [], 0
-    for batch in batches:
-        column = batch.column(batch.num_columns - 1)
-        held.append(column)
-        size += column.nbytes
-        if size >= most:
-            yield pa.concat_arrays(held)
-            held, size = [], 0
-    if held:
-        yield pa.concat_arrays(held)
-
+def tokenize(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct words (the last is the end mark), the place of each token in them, one past each text's end."""
+    plain = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+    lists = pc.ascii_split_whitespace(plain)
+    flat, owner = lists.flatten(), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    real = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
+    coded = flat.filter(pa.array(real)).dictionary_encode()
+    ends = (np.bincount(owner[real], minlength=len(lists)) + 1).cumsum()
+    codes = np.full(int(ends[-1]) if len(ends) else 0, len(coded.dictionary), dtype=np.int32)
+    inner = np.ones(len(codes), dtype=bool)
+    inner[ends - 1] = False
+    codes[inner] = coded.indices.to_numpy(zero_copy_only=False)
+    return pa.concat_arrays([coded.dictionary, pa.array([END], pa.large_string())]), codes, ends
+
+
+def before(codes: np.ndarray, ends: np.ndarray, steps: int, start: int) -> np.ndarray:
+    """What stands so many tokens before each: ``start`` at a text's begin and NONE before that."""
+    out = np.full(len(codes), NONE, dtype=np.int64)
+    if len(codes) > steps:
+        out[steps:] = codes[:-steps]
+    begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    for k in range(steps):
+        at = begins + k
+        out[at[at < ends]] = start if k == steps - 1 else NONE
+    return out
+
+
+BLOCKS = "block string, word string, place int, n long, doc_ids binary, held binary, ends binary, codes binary"
+
+
+def _blocks(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def row(name: str, rows: int, /, **columns: pa.Array) -> pa.RecordBatch:
+        kinds = {"block": pa.string(), "word": pa.string(), "place": pa.int32(), "n": pa.int64()} | dict.fromkeys(("doc_ids", "held", "ends", "codes"), pa.binary())
+        return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.array([name] * rows) if c == "block" else pa.nulls(rows, t) for c, t in kinds.items()], names=list(kinds))
+
+    def one(name: str, batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = pa.Table.from_batches(batches).combine_chunks()
+        words, codes, ends = tokenize(whole.column("text").combine_chunks())
+        out = whole.column("held_out").to_numpy().astype(bool)
+        learned = np.repeat(~out, np.diff(ends, prepend=0))
+        n = np.bincount(codes[learned], minlength=len(words))
+        for at in range(0, len(words), 65536):
+            part = words[at : at + 65536].cast(pa.string())
+            yield row(name, len(part), word=part, place=pa.array(np.arange(at, at + len(part), dtype=np.int32)), n=pa.array(n[at : at + len(part)].astype(np.int64)))
+        ids = pc.fill_null(whole.column("doc_id"), _NULL_ID).to_numpy()
+        blobs = {"doc_ids": ids.astype(np.int64), "held": out, "ends": ends.astype(np.int64), "codes": codes}
+        yield row(name, 1, **{k: pa.array([v.tobytes()], pa.binary()) for k, v in blobs.items()})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task, count, held, size = TaskContext.get().partitionId(), 0, [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size >= most:
+                yield from one(f"{task}-{count}", held)
+                count, held, size = count + 1, [], 0
+        if held:
+            yield from one(f"{task}-{count}", held)
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for texts in _slices(batches):
-        block = Block.of(texts)
-        n = np.bincount(block.codes, minlength=len(block.words))
-        some = n > 0
-        yield pa.RecordBatch.from_arrays([block.words.filter(pa.array(some)).cast(pa.string()), pa.array(n[some])], names=["word", "n"])
+    return run
 
 
 # ---- the tree ----------------------------------------------------------------
@@ -129,10 +138,6 @@ class Tree:
     def base(self) -> int:
         return len(self.symbols) + 3
 
-    def numbered(self, words: pa.Array) -> np.ndarray:
-        found = pc.index_in(words, pa.array(self.symbols, words.type)).fill_null(NONE)
-        return found.to_numpy(zero_copy_only=False).astype(np.int64)
-
     def _find(self, sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
         if not len(sorted_keys):
             return np.full(len(keys), -1)
@@ -159,23 +164,37 @@ class Tree:
         return out + left * root
 
 
-def _numbers(tree: Tree, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbol numbers of tokens, of the ones before and of the ones before these.  START is the last number."""
-    own = tree.numbered(block.words)[block.codes]
-    start = len(tree.symbols)
-    one, two = block.before(own, 1), block.before(own, 2)
-    return own, np.where(one == START, start, one), np.where(two == START, start, two)
+def _sequences(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    column = batch.column(batch.schema.get_field_index("symbols"))
+    offsets = column.offsets.to_numpy().astype(np.int64)
+    return column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].astype(np.int64), (offsets - offsets[0])[1:]
 
 
 def _pairs_of(tree: Tree, depth: int, wanted: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(context, symbol, n) for the wanted contexts; symbol -1 counts all tokens after the context."""
-    for texts in _slices(batches):
-        own, one, two = _numbers(tree, Block.of(texts))
-        key = one + 1 if depth == 1 else np.where((one >= 0) & (two >= 0), (two + 1) * tree.base + one + 1, 0)
-        good = tree._find(wanted, key)
-        pick = good >= 0
-        both, n = np.unique(good[pick] * tree.base + own[pick] + 1, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(wanted[both // tree.base]), pa.array(both % tree.base - 1), pa.array(n)], names=["context", "symbol", "n"])
+    """(context, symbol, n) for the wanted contexts; symbol -1 stands for all rarer tokens."""
+    start = len(tree.symbols)
+
+    def out(parts: list[np.ndarray]) -> pa.RecordBatch:
+        both, n = np.unique(np.concatenate(parts), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(wanted[both // tree.base]), pa.array(both % tree.base - 1), pa.array(n)], names=["context", "symbol", "n"])
+
+    held, size = [], 0
+    for batch in batches:
+        own, ends = _sequences(batch)
+        one = before(own, ends, 1, start)
+        live = one >= 0
+        key = one[live] + 1
+        if depth == 2:
+            two = before(own, ends, 2, start)[live]
+            key = np.where(two >= 0, (two + 1) * tree.base + key, 0)
+        at = tree._find(wanted, key)
+        held.append(at[at >= 0] * tree.base + own[live][at >= 0] + 1)
+        size += len(held[-1])
+        if size > 4_000_000:
+            yield out(held)
+            held, size = [], 0
+    if size:
+        yield out(held)
 
 
 def _grown(tree: Tree, pairs: dict, roots: np.ndarray) -> Tree:
@@ -209,30 +228,21 @@ def _grown(tree: Tree, pairs: dict, roots: np.ndarray) -> Tree:
     return Tree(tree.symbols, contexts[order], np.concatenate([tree.rest, np.array([x[1] for x in new])])[order], parent[order], all_pairs[by], share[by])
 
 
-def counts(docs: DataFrame) -> DataFrame:
-    """``(word, n)`` of all tokens of docs(text)."""
-    return docs.select("text").mapInArrow(_counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def grow(docs: DataFrame, words: DataFrame, total: int, distinct: int, p_min: float = P_MIN, p_pair: float = P_PAIR) -> Tree:
-    """The tree of docs(text); words are its counts."""
+def grow(sequences: DataFrame, symbols: list[str], n: np.ndarray, total: int, distinct: int, p_min: float = P_MIN, p_pair: float = P_PAIR) -> Tree:
+    """The tree of the training rows of sequences(held_out, symbols); symbols with their counts n."""
+    train = sequences.where(~F.col("held_out")).select("symbols")
     none = np.zeros(0, dtype=np.int64)
-    least = max(LEAST, p_pair * total)
-    frequent = words.where(F.col("n") >= least).toArrow()  # at most 1 / p_pair words
-    symbols = sorted(zip(frequent.column(0).to_pylist(), frequent.column(1).to_pylist()))
-    tree = Tree([w for w, _ in symbols], none, np.zeros(0), none, none, np.zeros(0))
-    n = np.array([x for _, x in symbols], dtype=np.float64)
+    tree = Tree(symbols, none, np.zeros(0), none, none, np.zeros(0))
     roots = (n + 1) / (total + distinct + 1)
-    floor = max(LEAST, p_min * total)
-    wanted = np.flatnonzero(n >= floor) + 1 if len(n) else none
-    wanted = np.append(wanted, len(symbols) + 1).astype(np.int64)  # the start of a text
+    least, floor = max(LEAST, p_pair * total), max(LEAST, p_min * total)
+    wanted = np.append(np.flatnonzero(n >= floor) + 1, len(symbols) + 1).astype(np.int64)  # the last: a text's start
     for depth in (1, 2):
         here, at = tree, wanted
 
         def run(batches: Iterator[pa.RecordBatch], tree: Tree = here, depth: int = depth, at: np.ndarray = at) -> Iterator[pa.RecordBatch]:
             return _pairs_of(tree, depth, at, batches)
 
-        found = materialize(docs.select("text").mapInArrow(run, "context long, symbol long, n long").groupBy("context", "symbol").agg(F.sum("n").alias("n")), f"suffixtree-{depth}")
+        found = materialize(train.mapInArrow(run, "context long, symbol long, n long").groupBy("context", "symbol").agg(F.sum("n").alias("n")), f"suffixtree-{depth}")
         totals = dict(zip(*(c.to_pylist() for c in found.groupBy("context").agg(F.sum("n")).toArrow().columns)))
         stored = found.where((F.col("symbol") >= 0) & (F.col("n") >= least)).toArrow()  # at most 1 / p_pair rows
         context, symbol, k = (stored.column(i).to_numpy() for i in range(3))
@@ -241,10 +251,9 @@ def grow(docs: DataFrame, words: DataFrame, total: int, distinct: int, p_min: fl
         cuts = np.flatnonzero(np.diff(context)) + 1
         parts = {int(c[0]): (totals[int(c[0])], s, x) for c, s, x in zip(np.split(context, cuts), np.split(symbol, cuts), np.split(k, cuts)) if len(c)}
         tree = _grown(tree, parts, roots)
-        if depth == 1:
-            wanted = np.sort(np.concatenate([(context + 0)[k >= floor] * tree.base + symbol[k >= floor] + 1, none]).astype(np.int64))
-            if not len(wanted):
-                break
+        wanted = np.sort(context[k >= floor] * tree.base + symbol[k >= floor] + 1)
+        if not len(wanted):
+            break
     return tree
 
 
@@ -257,49 +266,77 @@ def held(doc_id: Column, parts: int = 7, out: int = 2) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == out, F.lit(False))
 
 
-def score(docs: DataFrame, words: DataFrame, total: int, distinct: int, tree: Tree, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``RESULT`` for docs(doc_id, held_out, text), with the counts and the tree of the training rows."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
-    docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks)).cast("int"))
+SEQUENCES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, rest double, symbols array<int>"
 
-    def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            places = batch.column(0).to_numpy()
-            for b in np.unique(places):
-                found = Block.of(batch.column(1).filter(pa.array(places == b))).words
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), b), pa.int32()), found.cast(pa.string())], names=["block", "word"])
 
-    dealt = docs.repartition(blocks, "block")
-    asked = dealt.select("block", "text").mapInArrow(distinct_words, "block int, word string").distinct()
-    known = asked.join(words, "word").select("block", "word", "n")
+def sequences(blocks: DataFrame, words: DataFrame, symbols: list[str], least: float, total: int, distinct: int) -> DataFrame:
+    """Per document its base columns and its tokens as places in symbols (-1: rarer); rest: what these rarer ones add to the base score."""
+    known = blocks.where("word is not null").select("block", "word", "place").join(words, "word").select(F.col("block").alias("home"), "place", F.col("n").alias("all"), F.when(F.col("n") >= least, F.col("word")).alias("symbol"))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        block = Block.of(left.column("text").combine_chunks() if left.num_rows else pa.array([], pa.string()))
-        place = pc.index_in(block.words, right.column("word").combine_chunks().cast(pa.large_string())).to_numpy(zero_copy_only=False)
-        n = np.zeros(len(block.words))
-        seen = ~np.isnan(place.astype(np.float64))
-        n[seen] = right.column("n").to_numpy()[place[seen].astype(np.int64)]
-        each = n[block.codes]
-        root = (each + 1) / (total + distinct + 1)
-        own, one, two = _numbers(tree, block)
-        p = tree.probability(tree.states(two, one), own, root)
-        starts = np.concatenate([[0], block.ends[:-1]]).astype(np.int64)
-        sums = [np.add.reduceat(x, starts) if len(starts) else np.zeros(0) for x in ((each > 0).astype(np.int64), np.log10(root), np.log10(p))]
-        return pa.Table.from_arrays(
-            [left.column("doc_id"), left.column("held_out"), pa.array(np.diff(block.ends, prepend=0)), pa.array(sums[0]), pa.array(np.full(len(starts), total)), pa.array(sums[1]), pa.array(sums[2])],
-            schema=pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]),
-        )
-
-    return dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(run, RESULT)
+        out = []
+        place, n = right.column("place").to_numpy(), np.zeros(right.num_rows)
+        n[place] = right.column("all").to_numpy()
+        number = np.full(len(n), NONE, dtype=np.int32)
+        names = right.column("symbol").combine_chunks()
+        some = pc.is_valid(names).to_numpy(zero_copy_only=False)
+        number[place[some]] = pc.index_in(names.filter(pa.array(some)), pa.array(symbols, pa.string())).to_numpy(zero_copy_only=False)
+        root = np.log10((n + 1) / (total + distinct + 1))
+        for row in left.to_pylist():
+            ids, ends, codes = np.frombuffer(row["doc_ids"], np.int64), np.frombuffer(row["ends"], np.int64), np.frombuffer(row["codes"], np.int32)
+            starts, own = np.concatenate([[0], ends[:-1]]), number[codes]
+            base = root[codes]
+            sums = [np.add.reduceat(x, starts) for x in ((n > 0).astype(np.int64)[codes], base, np.where(own < 0, base, 0))]
+            columns = [pa.array(ids, mask=ids == _NULL_ID), pa.array(np.frombuffer(row["held"], bool)), pa.array(np.diff(ends, prepend=0)), *map(pa.array, sums), pa.ListArray.from_arrays(pa.array(np.append(starts, ends[-1]).astype(np.int32)), pa.array(own))]
+            out.append(pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in SEQUENCES.split(", ")]))
+        return pa.Table.from_batches(out)
+
+    streams = blocks.where("word is null").select("block", "doc_ids", "held", "ends", "codes")
+    return streams.groupBy("block").cogroup(known.groupBy("home")).applyInArrow(run, SEQUENCES)
+
+
+def score(found: DataFrame, tree: Tree, roots: np.ndarray, total: int) -> DataFrame:
+    """``RESULT`` for ``sequences``; roots are the symbols' probabilities without context."""
+    roots = np.append(roots, 1.0)  # of a rarer token the root's part is in ``rest``
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, ends = _sequences(batch)
+            one, two = (before(own, ends, k, len(tree.symbols)) for k in (1, 2))
+            p = np.log10(tree.probability(tree.states(two, one), own, roots[own]))
+            sums = np.add.reduceat(p, np.concatenate([[0], ends[:-1]])) if len(ends) else np.zeros(0)
+            at = batch.schema.get_field_index
+            columns = [batch.column(at(c)) for c in ("doc_id", "held_out", "n_tokens", "n_known")]
+            columns += [pa.array(np.full(len(ends), total)), batch.column(at("base_score")), pa.array(sums + batch.column(at("rest")).to_numpy())]
+            yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in RESULT.split(", ")])
 
+    return found.mapInArrow(run, RESULT)
 
-def language_model(docs: DataFrame, parts: int = 7, out: int = 2) -> DataFrame:
-    """Every document's scores under the model of those that aren't held out."""
-    small_batches(docs.sparkSession, 4096)
+
+@dataclass
+class Model:
+    found: DataFrame
+    tree: Tree
+    roots: np.ndarray
+    total: int
+    distinct: int
+
+
+def learn(docs: DataFrame, parts: int = 7, out: int = 2, block_bytes: int = BLOCK_BYTES) -> Model:
+    small_batches(docs.sparkSession, 512)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held(F.col("doc_id"), parts, out).alias("held_out"), F.col("text").cast("string").alias("text"))
-    train = plain.where(~F.col("held_out")).select("text")
-    words = materialize(counts(train), "suffixtree-words")
-    size = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
+    blocks = materialize(plain.mapInArrow(_blocks(block_bytes), BLOCKS), "suffixtree-blocks")
+    words = materialize(blocks.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")), "suffixtree-words")
+    size = words.agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()  # words of held-out rows alone have 0
     total, distinct = size["n"] or 0, size["v"]
-    return score(plain, words, total, distinct, grow(train, words, total, distinct))
+    least = max(LEAST, P_PAIR * total)
+    frequent = sorted(zip(*(c.to_pylist() for c in words.where(F.col("n") >= least).toArrow().columns)))  # at most 1 / P_PAIR words
+    symbols, n = [w for w, _ in frequent], np.array([x for _, x in frequent], dtype=np.float64)
+    found = materialize(sequences(blocks, words, symbols, least, total, distinct), "suffixtree-sequences")
+    return Model(found, grow(found, symbols, n, total, distinct), (n + 1) / (total + distinct + 1), total, distinct)
+
+
+def language_model(docs: DataFrame, parts: int = 7, out: int = 2) -> DataFrame:
+    """Every document's scores under the model of those that aren't held out."""
+    model = learn(docs, parts, out)
+    return score(model.found, model.tree, model.roots, model.total)
