@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import read_table
-from . import kdtree, packing, quality, simhash, suffixtree, toxicity, warc
+from . import kdtree, packing, pieces, quality, quotes, simhash, suffixtree, toxicity, warc
 from .common import bucket
 
 
@@ -25,6 +25,18 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (bucket("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "toxic_tokens", "toxic_spans")
 
 
+def op2_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quotes.conversations(read_table(spark, sf_dir, "conversations"))
+    return found.select("conv_id", "turn", "role", "position", "parent_turn", "root_turn", "n_passages", "max_depth", "n_linked", "n_other_conv", F.md5(F.col("clean_text").cast("binary")).alias("text_md5"))
+
+
+def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(tokenizer_file("piece_bpe_32k.model"), "rb") as f:
+        model = f.read()
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.encode(docs, model, ("n_ids", "ids_crc32", "parity", "round_trip")).drop("text")
+
+
 def op5_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixtree.language_model(read_table(spark, sf_dir, "documents"))
 
