@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import read_table
-from . import kdtree, packing, pieces, quality, quotes, simhash, suffixtree, toxicity, warc
+from ..runtime import materialize, read_table
+from . import kdtree, packing, personal, pieces, quality, quotes, simhash, suffixtree, toxicity, warc
 from .common import bucket
 
 
@@ -37,6 +37,14 @@ def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(docs, model, ("n_ids", "ids_crc32", "parity", "round_trip")).drop("text")
 
 
+def op4_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    made = materialize(personal.candidates(docs).drop("text"), "personal-candidates")
+    found = personal.choose(made, personal.train(made))
+    counts = [personal.count(F.col("base"), k).alias(f"n_{k}") for k in personal.KINDS]
+    return found.select("doc_id", *counts, F.sha2(personal.listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), personal.listed(F.col("found")).alias("spans"))
+
+
 def op5_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixtree.language_model(read_table(spark, sf_dir, "documents"))
 
