@@ -97,7 +97,7 @@ def _blocks(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
             yield row(name, len(part), word=part, place=pa.array(np.arange(at, at + len(part), dtype=np.int32)), n=pa.array(n[at : at + len(part)].astype(np.int64)))
         ids = pc.fill_null(whole.column("doc_id"), _NULL_ID).to_numpy()
         blobs = {"doc_ids": ids.astype(np.int64), "held": out, "ends": ends.astype(np.int64), "codes": codes}
-        yield row(name, 1, **{k: pa.array([v.tobytes()], pa.binary()) for k, v in blobs.items()})
+        yield row(name, 1, n=pa.array([len(ends)], pa.int64()), **{k: pa.array([pa.compress(v.tobytes(), "zstd", asbytes=True)], pa.binary()) for k, v in blobs.items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -283,15 +283,16 @@ def sequences(blocks: DataFrame, words: DataFrame, symbols: list[str], least: fl
         number[place[some]] = pc.index_in(names.filter(pa.array(some)), pa.array(symbols, pa.string())).to_numpy(zero_copy_only=False)
         root = np.log10((n + 1) / (total + distinct + 1))
         for row in left.to_pylist():
-            ids, ends, codes = np.frombuffer(row["doc_ids"], np.int64), np.frombuffer(row["ends"], np.int64), np.frombuffer(row["codes"], np.int32)
+            ids, ends = (np.frombuffer(pa.decompress(row[k], row["rows"] * 8, "zstd"), np.int64) for k in ("doc_ids", "ends"))
+            out_of, codes = np.frombuffer(pa.decompress(row["held"], row["rows"], "zstd"), bool), np.frombuffer(pa.decompress(row["codes"], int(ends[-1]) * 4, "zstd"), np.int32)
             starts, own = np.concatenate([[0], ends[:-1]]), number[codes]
             base = root[codes]
             sums = [np.add.reduceat(x, starts) for x in ((n > 0).astype(np.int64)[codes], base, np.where(own < 0, base, 0))]
-            columns = [pa.array(ids, mask=ids == _NULL_ID), pa.array(np.frombuffer(row["held"], bool)), pa.array(np.diff(ends, prepend=0)), *map(pa.array, sums), pa.ListArray.from_arrays(pa.array(np.append(starts, ends[-1]).astype(np.int32)), pa.array(own))]
+            columns = [pa.array(ids, mask=ids == _NULL_ID), pa.array(out_of), pa.array(np.diff(ends, prepend=0)), *map(pa.array, sums), pa.ListArray.from_arrays(pa.array(np.append(starts, ends[-1]).astype(np.int32)), pa.array(own))]
             out.append(pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in SEQUENCES.split(", ")]))
         return pa.Table.from_batches(out)
 
-    streams = blocks.where("word is null").select("block", "doc_ids", "held", "ends", "codes")
+    streams = blocks.where("word is null").select("block", F.col("n").alias("rows"), "doc_ids", "held", "ends", "codes")
     return streams.groupBy("block").cogroup(known.groupBy("home")).applyInArrow(run, SEQUENCES)
 
 
