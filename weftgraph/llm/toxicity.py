@@ -26,8 +26,8 @@ are ignored.
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from zlib import crc32
 
@@ -39,26 +39,38 @@ from pyspark.sql import functions as F
 from ..runtime import small_batches
 from .common import bucket, groups
 
-PER_LABEL = 2000
-SAMPLE_CHARS = 20_000
+PER_LABEL = 1200
+SAMPLE_CHARS = 10_000
 THRESHOLD = 0.3
 BITS = 16
 WINDOW = 48
-_EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 _TOKEN = re.compile("[^\x20\x09-\x0d]+")
+#: Signs that don't belong to a word at its ends.
+SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»„“”‘’…–—¿¡"
 
 
 def bare(token: str) -> str:
     """A token without case and the signs around it."""
-    return _EDGES.sub("", token).lower()
+    return token.strip(SIGNS).lower()
+
+
+_MASK = (1 << BITS) - 1
+_LENGTHS = [crc32(b"%d" % n, 11) & _MASK for n in range(13)]
+_SHAPES = {name: crc32(name.encode(), 12) & _MASK for name in ("upper", "title", "digit", "lower", "bias")}
 
 
 def _slots(token: str) -> list[int]:
     """Places of a token's features in the weights."""
-    word = bare(token)
-    names = ["w" + word, *(f"p{k}{word[:k]}" for k in range(3, 8) if len(word) > k), f"s{word[-3:]}", f"n{min(len(word), 12)}"]
-    shape = "u" if token.isupper() else "t" if token[:1].isupper() else "d" if any(c.isdigit() for c in token) else "l"
-    return [crc32(n.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1) for n in [*names, "c" + shape, "b"]]
+    word = bare(token).encode("utf-8", "surrogatepass")
+    n = len(word)
+    if token.islower():
+        shape = "lower"
+    else:
+        shape = "upper" if token.isupper() else "title" if token[:1].isupper() else "digit" if any(map(str.isdigit, token)) else "lower"
+    out = [crc32(word, 1) & _MASK, crc32(word[-3:], 2) & _MASK, _LENGTHS[n if n < 12 else 12], _SHAPES[shape], _SHAPES["bias"]]
+    for k in range(3, min(8, n)):
+        out.append(crc32(word[:k], k) & _MASK)
+    return out
 
 
 # ---- marginals ---------------------------------------------------------------
@@ -127,22 +139,33 @@ class Field:
     trans: np.ndarray
     scale: np.ndarray  # of the logistic regression: bias and three weights
 
-    def unary(self, token: str) -> float:
-        return float(self.weights[_slots(token)].sum())
+    def unary(self) -> Callable[[str], float]:
+        weight = self.weights.tolist().__getitem__
+        return lambda token: sum(map(weight, _slots(token)))
 
 
 def _marks(texts: list[list[str]], labels: list[int]) -> set[str]:
     seen: list[dict[str, set[int]]] = [defaultdict(set), defaultdict(set)]
-    for tokens, label in zip(texts, labels):
-        found = [bare(t) for t in tokens]
-        for i, w in enumerate(found):
-            if len(w) > 2:
-                pair = hash((found[i - 1] if i else "", found[i + 1] if i + 1 < len(found) else ""))
-                for key in ("=" + w, *(w[:k] for k in (4, 5, 6) if len(w) > k)):
-                    seen[label][key].add(pair)
-    whole = [sum(len(v) for k, v in s.items() if k[0] == "=") for s in seen]
+    whole = [0, 0]
+    tried = 1
+    for label in (1, 0):  # what never stands in toxic rows can't be a mark, and isn't kept
+        different: set[int] = set()
+        for tokens, y in zip(texts, labels):
+            if y != label:
+                continue
+            found = [bare(t) for t in tokens]
+            for i, w in enumerate(found):
+                if len(w) > 2:
+                    pair = hash((found[i - 1] if i else "", found[i + 1] if i + 1 < len(found) else ""))
+                    different.add(hash((w, pair)))
+                    for key in ("=" + w, *(w[:k] for k in (4, 5, 6) if len(w) > k)):
+                        if label or key in seen[1]:
+                            seen[label][key].add(pair)
+        whole[label] = len(different)
+        tried = max(tried, len(seen[1]))
+        seen[1] = {k: v for k, v in seen[1].items() if len(v) > 2}
     share = max(whole[1], 1) / max(sum(whole), 1)
-    limit = np.log(max(len(seen[1]), 1) / 0.01)
+    limit = np.log(tried / 0.01)
     found = set()
     for key, pairs in seen[1].items():
         k, n = len(pairs), len(pairs) + len(seen[0].get(key, ()))
@@ -172,8 +195,8 @@ def fit(texts: list[str], labels: list[int], rate: float, steps: int = 400, seed
             gold.append(tags[s : s + WINDOW])
     width = max(map(len, map(_slots, ["abcdefghijkl"])))
     n = len(windows)
-    slots = np.full((n, WINDOW, width), 1 << BITS)
-    live, tags = np.zeros((n, WINDOW), dtype=bool), np.zeros((n, WINDOW), dtype=int)
+    slots = np.full((n, WINDOW, width), 1 << BITS, dtype=np.int32)
+    live, tags = np.zeros((n, WINDOW), dtype=bool), np.zeros((n, WINDOW), dtype=np.int8)
     for r, (w, g) in enumerate(zip(windows, gold)):
         for i, t in enumerate(w):
             at = cache.get(t)
@@ -196,7 +219,7 @@ def fit(texts: list[str], labels: list[int], rate: float, steps: int = 400, seed
             trans -= 0.1 * gt / np.sqrt(sq_t)
     field = Field(weights[:-1].astype(np.float32), trans, np.zeros(4))
     known: dict[str, float] = {}
-    traits = np.array([document_traits(p) for p, _ in _scored(field, texts, known)])
+    traits = np.array([document_traits(p) for at in range(0, len(texts), 64) for p, _ in _scored(field, texts[at : at + 64], known)])
     y = np.array(labels, dtype=float)
     cost = np.where(y == 1, rate / y.mean(), (1 - rate) / (1 - y.mean()))
     x = np.column_stack([np.ones(len(y)), traits])
@@ -258,13 +281,14 @@ def _scored(field: Field, texts: list[str | None], known: dict[str, float]) -> I
     """Marginals and tokens of each text."""
     tokens = [_TOKEN.findall(t) if t else [] for t in texts]
     flat: list[float] = []
+    unary = field.unary()
     for found in tokens:
         for t in found:
             s = known.get(t)
             if s is None:
                 if len(known) > 200_000:
                     known.clear()
-                s = field.unary(t)
+                s = unary(t)
                 if len(t) < 64:
                     known[t] = s
             flat.append(s)
