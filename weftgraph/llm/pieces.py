@@ -138,7 +138,7 @@ class Codec:
         self.chunked.decoder = self.decoder
         self.original = sentencepiece.SentencePieceProcessor(model_proto=data)
         joined = all(SPACE not in p.lstrip(SPACE) for p, _, kind in m.pieces if kind in (NORMAL, USER))
-        self.split = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall if joined and m.dummy_prefix and not any(kind == USER for _, _, kind in m.pieces) else lambda t: [t] if t else []
+        self.split = re.compile(f"{SPACE}*[^{SPACE}]+(?:{SPACE}+$)?|{SPACE}+").findall if joined and m.dummy_prefix and not any(kind == USER for _, _, kind in m.pieces) else lambda t: [t] if t else []
         self.known: dict[str, tuple[bytes, bool, bool]] = {}
 
     def normalize(self, text: str) -> str:
