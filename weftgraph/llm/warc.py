@@ -168,7 +168,10 @@ def train_dictionary(pages: DataFrame, size: int = DICTIONARY_BYTES, rows: int =
     """Of a bounded sample; empty if that is too small for one."""
     import zstandard
 
-    some = pages.where("html <> ''").select(F.xxhash64("page_id", "html").alias("h"), F.substring("html", 1, chars).alias("html")).orderBy("h").limit(rows).collect()
+    hashed = pages.where("html <> ''").withColumn("h", F.xxhash64("page_id", "html"))
+    # First the hashes alone: every task sends its least ones, so rows with texts would add up with the tasks.
+    last = hashed.select("h").orderBy("h").limit(rows).agg(F.max("h")).first()[0]
+    some = hashed.where(F.col("h") <= last).select(F.substring("html", 1, chars).alias("html")).limit(rows).collect() if last is not None else []
     texts = sorted({r["html"].encode("utf-8", "surrogatepass") for r in some})
     try:
         return zstandard.train_dictionary(size, texts).as_bytes() if len(texts) >= 16 else b""
