@@ -5,9 +5,9 @@ The verdict compares two histograms of a document with its language's own:
 the classes of its characters, and its common words (each of the language's
 ``COMMON`` most frequent words, and all others together).  Both distances are
 Jensen-Shannon distances in bits, between 0 and 1.  A document is judged only
-if it has ``MIN_WORDS`` words, and a language only if it holds at least
-``REFERENCE_SHARE`` of all words, which also bounds the references that are
-sent to the executors to 1 / REFERENCE_SHARE times (COMMON + classes).
+if it has ``MIN_WORDS`` words.  A language of fewer than ``REFERENCE_WORDS``
+words has no histograms of its own; its documents are compared with those of
+all documents together.  References are a table joined by language.
 
 A short sample lies far from its own source by chance.  The limit of the word
 distance is therefore the mean distance of samples of that length drawn from
@@ -23,6 +23,7 @@ results; an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 from collections import Counter
 from collections.abc import Iterator
 
@@ -38,7 +39,8 @@ from .common import BLANKS, groups, words
 
 MIN_WORDS = 50
 COMMON = 100
-REFERENCE_SHARE = 0.0005
+#: A language with fewer words is judged by all documents together.
+REFERENCE_WORDS = 10_000
 #: The character distance may be a + b / sqrt(n words).
 MAX_CHARACTERS = (0.17, 1.2)
 EXCESS = 0.17
@@ -147,29 +149,37 @@ def expected(counts: np.ndarray) -> np.ndarray:
     return np.array([np.mean([divergence(rng.multinomial(n, shares), counts) for _ in range(SAMPLES)]) for n in LENGTHS])
 
 
-def references(docs: DataFrame, common: int = COMMON, share: float = REFERENCE_SHARE) -> dict[str, Reference]:
-    """Of each language: counts of character classes, places of its common words, their counts and the others', distances by chance."""
+def _references(rows: pa.Table) -> pa.Table:
+    """The pickled ``Reference`` of the rows (lang, kind, word, n, r) of one language."""
+    classes, frequent, total = np.zeros(len(CLASSES), dtype=np.int64), [], 0
+    for r in rows.to_pylist():
+        if r["kind"] == 0:
+            frequent.append((r["r"], r["word"], r["n"]))
+        elif r["kind"] == 1:
+            classes[int(r["word"])] = r["n"]
+        else:
+            total = r["n"]
+    frequent.sort()
+    found = [n for _, _, n in frequent]
+    made = classes, {bytes(word): i for i, (_, word, _) in enumerate(frequent)}, (all_words := np.array([*found, total - sum(found)])), expected(all_words)
+    return pa.table({"lang": rows.column("lang").slice(0, 1), "reference": pa.array([pickle.dumps(made)], pa.binary())})
+
+
+def references(docs: DataFrame, common: int = COMMON, least: int = REFERENCE_WORDS) -> DataFrame:
+    """``(lang, reference)`` of each language with at least so many words, and of all documents together (lang null).
+
+    A reference holds the counts of character classes, places of the common words, their counts and the others', and the distances by chance.
+    """
     small_batches(docs.sparkSession)
     counts = _plain(docs).mapInArrow(_counted, "lang string, kind int, word binary, n long").groupBy("lang", "kind", "word").agg(F.sum("n").alias("n"))
+    counts = materialize(counts, "quality-words")
+    pooled = counts.groupBy("kind", "word").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("lang"), "kind", "word", "n")
     top = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "word")
-    ranked = materialize(counts.withColumn("r", F.row_number().over(top)).where(F.col("r") <= max(common, len(CLASSES))), "quality-counts")
-    sizes = ranked.where("kind = 2")
-    least = share * (sizes.agg(F.sum("n")).first()[0] or 0)
-    kept = sizes.where((F.col("n") > 0) & (F.col("n") >= least)).select("lang")
-    out: dict[str, Reference] = {}
-    by_lang: dict[str, list] = {}
-    for r in ranked.join(kept, "lang").collect():  # at most 1 / share languages
-        by_lang.setdefault(r["lang"], []).append((r["kind"], bytes(r["word"]), r["n"], r["r"]))
-    for lang, rows in by_lang.items():
-        classes = np.zeros(len(CLASSES), dtype=np.int64)
-        for kind, word, n, _ in rows:
-            if kind == 1:
-                classes[int(word)] = n
-        frequent = sorted((r, word, n) for kind, word, n, r in rows if kind == 0 and r <= common)
-        total = next(n for kind, _, n, _ in rows if kind == 2)
-        found = [n for _, _, n in frequent]
-        out[lang] = classes, {word: i for i, (_, word, _) in enumerate(frequent)}, (all_words := np.array([*found, total - sum(found)])), expected(all_words)
-    return out
+    kept = counts.where((F.col("kind") == 2) & (F.col("n") >= least)).select("lang")
+    own = counts.join(kept, "lang", "left_semi").unionByName(pooled)
+    ranked = own.withColumn("r", F.row_number().over(top)).where(F.col("r") <= max(common, len(CLASSES))).where((F.col("kind") != 0) | (F.col("r") <= common))
+    ranked = materialize(ranked, "quality-counts")
+    return materialize(ranked.groupBy("lang").applyInArrow(_references, "lang string, reference binary"), "quality-references")
 
 
 def judge(text: str | None, reference: tuple | None, limits: tuple = (*MAX_CHARACTERS, EXCESS), min_words: int = MIN_WORDS) -> tuple:
@@ -192,17 +202,27 @@ OUTPUT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_rep
 def rules(docs: DataFrame, limits: tuple = (*MAX_CHARACTERS, EXCESS), min_words: int = MIN_WORDS) -> DataFrame:
     """docs with the columns of ``OUTPUT``; columns of docs that have such a name are replaced."""
     found = references(docs)
+    pooled = [pickle.loads(bytes(r["reference"])) for r in found.where("lang is null").collect()]  # one row
     mine = [c.split()[0] for c in OUTPUT.split(",")]
     left = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in mine])
     at = [c.lower() for c in left.columns]
     schema = pa.schema([("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("base_failed", pa.bool_()), ("js_characters", pa.float64()), ("js_words", pa.float64()), ("kept", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, Reference] = {}
         for batch, texts in groups(batches, text_name):
-            langs = batch.column(lang_at).to_pylist()
-            rows = [judge(t, found.get(lang if lang is not None else "und"), limits, min_words) for lang, t in zip(langs, texts)]
+            rows = []
+            for blob, t in zip(batch.column(batch.num_columns - 1).to_pylist(), texts):
+                if blob is not None and blob not in known:
+                    if len(known) >= 64:
+                        known.clear()
+                    known[blob] = pickle.loads(blob)
+                rows.append(judge(t, known[blob] if blob is not None else pooled[0], limits, min_words))
             new = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *schema.names])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names=[*batch.schema.names[:-1], *schema.names])
 
-    text_name, lang_at = left.columns[at.index("text")], at.index("lang")
-    return left.mapInArrow(run, T.StructType([*left.schema.fields, *T._parse_datatype_string(OUTPUT).fields]))
+    text_name = left.columns[at.index("text")]
+    own = F.coalesce(F.col(f"`{left.columns[at.index('lang')]}`").cast("string"), F.lit("und"))
+    named = found.where("lang is not null").select(F.col("lang").alias("_reference_lang"), F.col("reference").alias("_reference"))
+    judged = left.join(named, own == F.col("_reference_lang"), "left").drop("_reference_lang")
+    return judged.mapInArrow(run, T.StructType([*left.schema.fields, *T._parse_datatype_string(OUTPUT).fields]))
