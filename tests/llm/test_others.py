@@ -1,6 +1,7 @@
 import random
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,9 +74,35 @@ def test_unigram_model_is_rebuilt():
     m.normalizer_spec.name, m.normalizer_spec.remove_extra_whitespaces = "identity", False
     made = pieces.Codec(m.SerializeToString())
     assert made.model.kind == pieces.UNIGRAM
-    for text in ("ab a b", "aab  é", "", "bbb aaa"):
-        ids, parity, _ = next(made.encode([text]))
-        assert parity and made.decode([int.from_bytes(ids[i : i + 4], "little") for i in range(0, len(ids), 4)]) == text
+    texts = ["ab a b", "aab  é", "", "bbb aaa", "   ", " a", "b  ", "\ta\n", None, "a" * 3000]
+    flat, ends, parity, back = made.encode(pa.array(texts, pa.string()))
+    assert parity.all() and back.all()
+    for text, a, b in zip(texts, [0, *ends[:-1]], ends):
+        assert made.decode(flat[a:b].tolist()) == (text or "")
+    m.normalizer_spec.remove_extra_whitespaces = True
+    squeezing = pieces.Codec(m.SerializeToString())
+    assert squeezing.encode(pa.array(["a  b", "  a ", "\ta ", "a\n", "  ", ""], pa.string()))[2].all()
+    # A piece that reaches over a blank: texts can't be cut there.
+    m.normalizer_spec.remove_extra_whitespaces = False
+    m.pieces.add(piece="a▁b", score=-0.5, type=1)
+    crossing = pieces.Codec(m.SerializeToString())
+    assert not crossing.splits and crossing.encode(pa.array(["a b a b", "b a"], pa.string()))[2].all()
+
+
+def test_pieces_of_an_empty_table(spark, model):
+    assert pieces.encode(spark.createDataFrame([], "doc_id long, text string"), model).count() == 0
+
+
+def test_pieces_of_blanks_in_every_place(model):
+    import sentencepiece
+
+    rng = random.Random(2)
+    texts = ["".join(rng.choice(["a", "b", " ", " ", "  ", "\n", "é", "▁", "漢", "the"]) for _ in range(rng.randrange(9))) for _ in range(3000)]
+    made, theirs = pieces.Codec(model), sentencepiece.SentencePieceProcessor(model_proto=model)
+    for _ in range(2):  # the second time from memory
+        flat, ends, parity, back = made.encode(pa.array(texts))
+        assert parity.all() and back.tolist() == ["▁" not in t for t in texts]
+        assert [flat[a:b].tolist() for a, b in zip([0, *ends[:-1]], ends)] == theirs.encode(texts)
 
 
 # ---- WARC --------------------------------------------------------------------
