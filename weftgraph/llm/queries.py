@@ -22,7 +22,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     field = toxicity.train(docs, toxicity.trainable(read_table(spark, sf_dir, "labels")))
     found = toxicity.score(docs, field)
-    return found.select("doc_id", (bucket("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "toxic_tokens", "toxic_spans")
+    return found.select("doc_id", F.coalesce(bucket("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "toxic_tokens", "toxic_spans")
 
 
 def op2_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,15 +1,16 @@
 """Toxic spans by a linear-chain conditional random field.
 
 Learning.  Labels are of documents.  A bounded sample of labelled rows
-(``PER_LABEL`` rows of each label, least hashes first, texts of up to
-``SAMPLE_CHARS`` characters) gives labelled tokens: a word, or a word's first
+(``PER_LABEL`` rows of each label, least hashes first, their texts whole) gives labelled tokens: a word, or a word's first
 letters, is a mark if it occurs in toxic rows among so many different pairs of
 neighbours that chance is ruled out (Chernoff bound, corrected for the number
 of words tried).  Neighbours rather than rows are counted, so that copies of
 one text bring no marks.  Tokens of toxic rows with a mark are labelled 1, all
-others 0, and the field is fitted to windows of these by forward-backward
-gradients (AdaGrad on hashed features of a token's word, its first and last
-letters and its shape, and the transitions).
+others 0, and the field is fitted to windows of ``WINDOW`` tokens (windows that
+together hold every mark, and one at random from each text; of all these a
+random ``WINDOWS`` at most) by forward-backward gradients (AdaGrad on hashed
+features of a token's word, its first and last letters and its shape, and the
+transitions).
 
 Scoring.  Marginals come from the exact forward-backward recursion over the
 whole text, as scans of 2 x 2 matrices over all tokens of a batch.  Expected
@@ -39,11 +40,10 @@ from pyspark.sql import functions as F
 from ..runtime import small_batches
 from .common import bucket, groups
 
-PER_LABEL = 1200
-SAMPLE_CHARS = 10_000
+PER_LABEL = 2000
 THRESHOLD = 0.3
 BITS = 16
-WINDOW = 48
+WINDOW, WINDOWS = 48, 30_000
 _TOKEN = re.compile("[^\x20\x09-\x0d]+")
 #: Signs that don't belong to a word at its ends.
 SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»„“”‘’…–—¿¡"
@@ -144,34 +144,44 @@ class Field:
         return lambda token: sum(map(weight, _slots(token)))
 
 
-def _marks(texts: list[list[str]], labels: list[int]) -> set[str]:
-    seen: list[dict[str, set[int]]] = [defaultdict(set), defaultdict(set)]
-    whole = [0, 0]
-    tried = 1
+def _marks(texts: list[str], labels: list[int]) -> set[str]:
+    """Words (after a "=") and first letters of words that toxic rows have in more different neighbourhoods than chance explains."""
+    place: dict[str, int] = {}
+    whole, count = [0, 0], [np.zeros(0, dtype=np.int64)] * 2
     for label in (1, 0):  # what never stands in toxic rows can't be a mark, and isn't kept
-        different: set[int] = set()
-        for tokens, y in zip(texts, labels):
+        different, keys, pairs = [], [], []
+        for text, y in zip(texts, labels):
             if y != label:
                 continue
-            found = [bare(t) for t in tokens]
-            for i, w in enumerate(found):
+            found = [bare(t) for t in _TOKEN.findall(text)]
+            around = [hash(x) for x in zip(["", *found], [*found[1:], ""])]
+            different.append(np.unique(np.array([hash((w, p)) for w, p in zip(found, around) if len(w) > 2], dtype=np.int64)))
+            own = []
+            for w, p in zip(found, around):
                 if len(w) > 2:
-                    pair = hash((found[i - 1] if i else "", found[i + 1] if i + 1 < len(found) else ""))
-                    different.add(hash((w, pair)))
                     for key in ("=" + w, *(w[:k] for k in (4, 5, 6) if len(w) > k)):
-                        if label or key in seen[1]:
-                            seen[label][key].add(pair)
-        whole[label] = len(different)
-        tried = max(tried, len(seen[1]))
-        seen[1] = {k: v for k, v in seen[1].items() if len(v) > 2}
+                        at = place.setdefault(key, len(place)) if label else place.get(key)
+                        if at is not None:
+                            own.append((at, p))
+            if own:
+                keys.append(np.array([k for k, _ in own], dtype=np.int32))
+                pairs.append(np.array([p for _, p in own], dtype=np.int64))
+        whole[label] = len(np.unique(np.concatenate(different))) if different else 0
+        if keys:
+            k, p = np.concatenate(keys), np.concatenate(pairs)
+            order = np.lexsort((p, k))
+            k, p = k[order], p[order]
+            new = np.append(True, (np.diff(k) != 0) | (np.diff(p) != 0))
+            count[label] = np.bincount(k[new], minlength=len(place))
+    hits, misses = count[1], np.pad(count[0], (0, len(place) - len(count[0])))
     share = max(whole[1], 1) / max(sum(whole), 1)
-    limit = np.log(tried / 0.01)
-    found = set()
-    for key, pairs in seen[1].items():
-        k, n = len(pairs), len(pairs) + len(seen[0].get(key, ()))
-        rate = k / n
+    limit = np.log(max(1, len(place)) / 0.01)
+    names, found = list(place), set()
+    for i in np.flatnonzero(hits > 2):
+        n = int(hits[i] + misses[i])
+        rate = hits[i] / n
         if rate > max(0.9, share) and n * (rate * np.log(rate / share) + ((1 - rate) * np.log((1 - rate) / (1 - share)) if rate < 1 else 0)) > limit:
-            found.add(key)
+            found.add(names[i])
     return found
 
 
@@ -181,18 +191,24 @@ def fit(texts: list[str], labels: list[int], rate: float, steps: int = 400, seed
     texts, labels = [t for t, _ in both], [y for _, y in both]
     if not 0 < sum(labels) < len(labels):
         return None
-    tokens = [_TOKEN.findall(t) for t in texts]
-    marks = _marks(tokens, labels)
+    marks = _marks(texts, labels)
     rng = np.random.default_rng(seed)
     cache: dict[str, list[int]] = {}
     windows, gold = [], []
-    for found, y in zip(tokens, labels):
+    for text, y in zip(texts, labels):
+        found = _TOKEN.findall(text)
         tags = [y and int(("=" + (w := bare(t))) in marks or any(w[:k] in marks for k in (4, 5, 6) if len(w) > k)) for t in found]
-        hot = [i for i, g in enumerate(tags) if g][:8]
-        starts = {max(0, i - int(rng.integers(WINDOW))) for i in hot} | ({int(rng.integers(max(1, len(found) - WINDOW + 1)))} if found else set())
-        for s in sorted(starts):
+        starts, end = [int(rng.integers(max(1, len(found) - WINDOW + 1)))] if found else [], 0
+        for i, tag in enumerate(tags):
+            if tag and i >= end:  # the windows before don't hold this mark
+                starts.append(max(end, i - int(rng.integers(WINDOW))))
+                end = starts[-1] + WINDOW
+        for s in starts:
             windows.append(found[s : s + WINDOW])
             gold.append(tags[s : s + WINDOW])
+    if len(windows) > WINDOWS:
+        picked = np.sort(rng.permutation(len(windows))[:WINDOWS])
+        windows, gold = [windows[i] for i in picked], [gold[i] for i in picked]
     width = max(map(len, map(_slots, ["abcdefghijkl"])))
     n = len(windows)
     slots = np.full((n, WINDOW, width), 1 << BITS, dtype=np.int32)
@@ -219,7 +235,7 @@ def fit(texts: list[str], labels: list[int], rate: float, steps: int = 400, seed
             trans -= 0.1 * gt / np.sqrt(sq_t)
     field = Field(weights[:-1].astype(np.float32), trans, np.zeros(4))
     known: dict[str, float] = {}
-    traits = np.array([document_traits(p) for at in range(0, len(texts), 64) for p, _ in _scored(field, texts[at : at + 64], known)])
+    traits = np.array([document_traits(p) for at in range(0, len(texts), 16) for p, _ in _scored(field, texts[at : at + 16], known)])
     y = np.array(labels, dtype=float)
     cost = np.where(y == 1, rate / y.mean(), (1 - rate) / (1 - y.mean()))
     x = np.column_stack([np.ones(len(y)), traits])
@@ -315,7 +331,7 @@ def spans(text: str, p: np.ndarray, least: float = 0.5) -> list[tuple[int, int]]
     return out
 
 
-def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, most_chars: int = SAMPLE_CHARS) -> Field | None:
+def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Field | None:
     """The field of all rows in labels; the driver gets at most 2 * per_label texts."""
     one = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     count = one.agg(F.count("*").alias("n"), F.sum("toxic").alias("k")).first()
@@ -323,7 +339,7 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, most_c
     for y in (0, 1):
         some = one.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label)
         picked = some if picked is None else picked.unionByName(some)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull() & (F.length("text") <= most_chars))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
     # 2 * per_label rows of two numbers at most: small enough to send to every executor.
     rows = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic").collect()
     rows = sorted({(r["doc_id"], r["text"], r["toxic"]) for r in rows})
