@@ -3,19 +3,31 @@
 Base spans come from four patterns and their checks.  Beyond these, high-recall
 generators propose overlapping spans of the same kinds: addresses written out
 ("name at host dot org"), numbers of the internet's sixth version, digit groups
-without a plus sign.  Each candidate has features of its format (digits,
-groups, separators, check sums, length of the last part) and of its context
-(words and signs before and after it).  Trees are fitted by gradient boosting
-to the base patterns' own matches, those that pass the checks against those
-that fail, and to numbers and words near them that no base pattern takes;
-features that would give a generator away are left out.  A threshold for each
-kind is calibrated so that at least ``PRECISION`` of the candidates above it
-are right; a kind without such a threshold selects nothing.
+without a plus sign.  Generators read the text with the base spans of their own
+kind masked, so no proposal lies in or across one.
+
+Every candidate has a check of its kind (an address ends in letters behind a
+dot; octets and hexadecimal groups are well formed; check sums hold; a phone
+number has 9 to 15 digits and isn't a date).  A failed check proves a candidate
+wrong: those are the negatives, base spans the positives.  The check's own
+ingredients are hidden from the trees, which see the rest of the format
+(groups, separators, letters, brackets, lengths) and the context (words and
+signs before and after).  What passes a check by chance looks like what fails
+it in these respects, so the trees tell both apart.
+
+Trees are fitted by gradient boosting to three quarters of the texts (by hash,
+so copies stay together).  On the other quarter a threshold is calibrated for
+each kind: the least margin above which at least ``PRECISION`` of ``HELD_OUT``
+or more labelled candidates are right.  A kind without such a threshold, or
+without ``HELD_OUT`` negatives to show for it, selects nothing.  A proposal is
+taken if its margin reaches the threshold and it passes its check as well.
 
 Everything that reads rows is DataFrame functions, one narrow pass without a
-shuffle; offsets are sums of the lengths of a text's parts.  For fitting,
-labelled candidates of all rows are counted by their features (at most the
-product of the features' values), and only these counts reach the driver.
+shuffle.  A pattern marks its matches in one pass; offsets are sums of the
+lengths of the parts between, summed in chunks, so that a text with very many
+matches takes time in proportion.  For fitting, labelled candidates of all
+rows are counted by their features (at most the product of the features'
+values), and only these counts reach the driver.
 
 Defined results: null texts count as empty and have no spans; repeated rows
 give repeated results; patterns are written so that no text, however long,
@@ -27,7 +39,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -45,28 +57,30 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: What a text must hold for a kind's patterns to be tried at all.
-NEEDS = {"email": r"@|[\s(\[](?:at|AT|At)[\s)\]]", "ip": r"[0-9]\.[0-9]|:[0-9A-Fa-f]*:", "card": r"[0-9][\x20-]?[0-9]", "phone": r"[0-9][\x20().-]{0,2}[0-9]"}
+NEEDS = {"email": r"@|[\s(\[](?:at|AT|At)[\s)\]]", "ip": r"[0-9]\.[0-9]|:[0-9A-Fa-f]*:", "card": r"[0-9][\x20./-]?[0-9]", "phone": r"\+[0-9]|[0-9][\x20()./-]{0,2}[0-9]"}
 GENERATORS = {
-    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+(?:@|[\x20\t]?[(\[](?:at|AT|@)[)\]][\x20\t]?|[\x20\t](?:at|AT)[\x20\t])[A-Za-z0-9-]{1,63}+(?:(?:\.|[\x20\t]?[(\[](?:dot|DOT|\.)[)\]][\x20\t]?|[\x20\t](?:dot|DOT)[\x20\t])[A-Za-z0-9-]{1,63}+){1,8}+",
-    "ip": r"(?<![0-9A-Fa-f:.])(?:[0-9]{1,9}+(?:\.[0-9]{1,9}+){3}+|(?:[0-9A-Fa-f]{1,4}+:){3,7}+[0-9A-Fa-f]{1,4}+)(?![0-9A-Fa-f:])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+(?:@|[\x20\t]?[(\[](?:at|AT|@)[)\]][\x20\t]?|[\x20\t](?:at|AT)[\x20\t])[A-Za-z0-9-]{1,63}+(?:(?:\.|[\x20\t]?[(\[](?:dot|DOT|\.)[)\]][\x20\t]?|[\x20\t](?:dot|DOT)[\x20\t])[A-Za-z0-9-]{1,63}+){0,8}+",
+    "ip": r"(?<![0-9A-Fa-f:.])(?:[0-9]{1,9}+(?:\.[0-9]{1,9}+){3}+|(?:[0-9A-Fa-f]{1,4}+)?(?::{1,2}[0-9A-Fa-f]{1,4}+){2,7}+)(?![0-9A-Fa-f:])",
     "card": r"(?<![0-9])[0-9]{2,8}+(?:[\x20./-][0-9]{2,8}+){1,7}+(?![0-9])|(?<![0-9])[0-9]{12,19}+(?![0-9])",
-    "phone": r"(?<![0-9+])(?:\([0-9]{2,4}+\)[\x20-]?|[0-9]{2,4}+[\x20./-])[0-9]{2,4}+(?:[\x20./-][0-9]{2,4}+){1,3}+(?![0-9])",
+    "phone": r"(?<![0-9+])(?:\([0-9]{2,4}+\)[\x20-]?|[0-9]{1,4}+[\x20./-])[0-9]{1,4}+(?:[\x20./-][0-9]{2,4}+){1,3}+(?![0-9])",
 }
-PRECISION, TREES, DEPTH, RATE = 0.98, 24, 2, 0.4
+PRECISION, HELD_OUT, TREES, DEPTH, RATE = 0.98, 50, 24, 2, 0.4
 OCTETS = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})){3}"
+#: Eight groups, or fewer with one gap.  All groups of two digits are clocks and hardware addresses.
+HEXADECIMAL = r"(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?!.*::.*::)(?:[0-9A-Fa-f]{1,4})?(?::{1,2}[0-9A-Fa-f]{1,4}){1,6}"
+TWO_DIGITS = r"[0-9A-Fa-f]{1,2}(?::[0-9A-Fa-f]{2})+"
+DATE = r"[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{2,4}|[0-9]{4}[./-][0-9]{1,2}[./-][0-9]{1,2}"
 #: Words that announce personal data, in a few languages.
 CUES = {"email": "mail|contact|kontakt|courriel|correo", "ip": "ip|addr|host|server|from", "card": "card|karte|carte|tarjeta|visa|credit", "phone": "call|phone|tel|mobil|fax|handy|cell"}
+#: Elements whose prefix sums are built at once, and characters of a tile of a text.
+CHUNK, TILE = 256, 4096
 
 
 def luhn(digits: Column) -> Column:
     """The check sum of a string of digits."""
-    places = F.sequence(F.lit(1), F.length(digits))
-
-    def add(total: Column, i: Column) -> Column:
-        d = F.substring(F.reverse(digits), i, F.lit(1)).cast("int")
-        return total + F.when(i % 2 == 1, d).otherwise(F.when(d > 4, 2 * d - 9).otherwise(2 * d))
-
-    return F.aggregate(places, F.lit(0), add) % 10 == 0
+    backwards = F.regexp_extract_all(F.reverse(digits), F.lit("[0-9]"), F.lit(0))
+    worth = F.transform(backwards, lambda d, i: F.when(i % 2 == 0, d.cast("int")).otherwise(2 * d.cast("int") - F.when(d.cast("int") > 4, 9).otherwise(0)))
+    return F.aggregate(worth, F.lit(0), lambda total, d: total + d) % 10 == 0
 
 
 def _digits(match: Column) -> Column:
@@ -74,6 +88,7 @@ def _digits(match: Column) -> Column:
 
 
 def _valid(kind: str, match: Column) -> Column:
+    """The contract's check of a base match."""
     if kind == "email":
         return F.lit(True)
     if kind == "ip":
@@ -84,52 +99,81 @@ def _valid(kind: str, match: Column) -> Column:
     return F.when(n.between(12, 19), luhn(_digits(match))).otherwise(False)
 
 
-def _found(text: Column, pattern: str, need: str) -> Column:
-    """``array<struct<p, m>>``: leftmost matches that don't overlap, each behind the part before it; the last has no match."""
-    none = F.array().cast("array<string>")
-    some = text.rlike(need)
-    matches = F.when(some, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none)
-    parts = F.when(some, F.split(text, pattern, -1)).otherwise(none)
-    return F.zip_with(parts, matches, lambda p, m: F.struct(p.alias("p"), m.alias("m")))
+def _checked(kind: str, match: Column) -> Column:
+    """The check of a proposal."""
+    if kind == "email":
+        return match.rlike(r"(?:\.|dot|DOT|\))[\s]*[A-Za-z]{2,24}$") & match.rlike(r"(?:@|at|AT).*(?:\.|dot|DOT)")
+    if kind == "ip":
+        return match.rlike(f"^{OCTETS}$") | (match.rlike(f"^(?:{HEXADECIMAL})$") & (match.rlike("::") | match.rlike("^[^:]*(?::[^:]*){7}$")) & ~match.rlike(f"^(?:{TWO_DIGITS})$"))
+    if kind == "phone":
+        return _valid(kind, match) & ~match.rlike(f"^(?:{DATE})$")
+    return _valid(kind, match)
+
+
+# ---- places of matches -------------------------------------------------------
+
 
+def _scanned(values: Column, start: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """``step`` over all values before each; array_append copies, so only short arrays are built."""
+    run = lambda first, xs: F.aggregate(xs, F.struct(first.alias("at"), F.array().cast("array<bigint>").alias("out")), lambda acc, x: F.struct(step(acc["at"], x).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")), lambda acc: acc["out"])
+    pieces = F.transform(F.sequence(F.lit(0), ((F.size(values) - 1) / CHUNK).cast("int")), lambda c: F.slice(values, c * CHUNK + 1, F.lit(CHUNK)))
+    firsts = run(start, F.transform(pieces, lambda p: F.aggregate(p, start, step)))
+    return F.flatten(F.zip_with(firsts, pieces, run))
 
-def _placed(zipped: Column) -> Column:
-    """``array<struct<m, start, before, after>>`` of these, with up to 24 characters around."""
-    empty = F.array().cast("array<struct<m:string,start:bigint,before:string,after:string>>")
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("out"))
-    following = lambda i: F.coalesce(F.substring(F.try_element_at(zipped, (i + 2).cast("int"))["p"], 1, 8), F.lit(""))
-    numbered = F.transform(zipped, lambda z, i: F.struct(z["p"].alias("p"), z["m"].alias("m"), following(i).alias("after")))
 
-    def step(acc: Column, z: Column) -> Column:
-        at = acc["at"] + F.length(z["p"])
-        one = F.struct(z["m"].alias("m"), at.cast("bigint").alias("start"), F.right(z["p"], F.lit(24)).alias("before"), z["after"].alias("after"))
-        return F.struct((at + F.coalesce(F.length(z["m"]), F.lit(0))).cast("bigint").alias("at"), F.when(z["m"].isNull(), acc["out"]).otherwise(F.array_append(acc["out"], one)).alias("out"))
+def _sums(values: Column) -> Column:
+    """The sum of all values before each."""
+    return F.when(F.size(values) <= CHUNK, F.aggregate(values, F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("out")), lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")), lambda acc: acc["out"])).otherwise(_scanned(values, F.lit(0).cast("bigint"), lambda a, x: a + x))
+
+
+MATCH = "array<struct<m:string,start:bigint,check:boolean,before:string,after:string>>"
+
+
+def _parts(text: Column, pattern: str) -> Column:
+    """The text up to the first match, and each match behind it followed by a mark and the text up to the next."""
+    return F.split(F.regexp_replace(text, f"({pattern})", "\x01$1\x02"), "\x01", -1)
+
+
+def _matches(docs: DataFrame, parts: str, to: str, check: Callable[[Column], Column]) -> DataFrame:
+    """Adds ``to``: the matches with their places, whether ``check`` holds, up to 24 characters before and one after.
+
+    Arrays that a lambda reads by place are columns with several uses: the
+    optimizer would put a column used once into the lambda, to be computed again for every element.
+    """
+    docs = docs.withColumn("_lengths", F.transform(parts, lambda x, i: (F.length(x) - F.when(i > 0, 1).otherwise(0)).cast("bigint")))
+    placed = F.zip_with(_sums(F.col("_lengths")), parts, lambda at, x: F.struct(at.alias("start"), F.substring_index(x, "\x02", 1).alias("m"), x.alias("x")))
+    rest = lambda x: F.substring(x, F.length(F.substring_index(x, "\x02", 1)) + 2, F.length(x))
+
+    def one(p: Column, i: Column) -> Column:
+        last, behind = F.element_at(parts, i), F.substring(rest(p["x"]), F.lit(1), F.lit(1))  # the part before, as element_at counts from 1
+        following = F.substring(F.coalesce(F.try_element_at(parts, (i + 2).cast("int")), F.lit("")), F.lit(1), F.lit(1))
+        before = F.when(i > 1, F.right(rest(last), F.lit(24))).otherwise(F.right(last, F.lit(24)))
+        return F.struct(p["m"].alias("m"), p["start"].alias("start"), check(p["m"]).alias("check"), before.alias("before"), F.when(behind != "", behind).otherwise(following).alias("after"))
 
-    return F.aggregate(numbered, start, step, lambda acc: acc["out"])
+    found = F.filter(F.transform(placed, lambda p, i: F.when(i > 0, one(p, i))), lambda x: x.isNotNull())
+    return docs.withColumn(to, F.when(F.size(parts) > 1, found).otherwise(F.array().cast(MATCH))).drop("_lengths")
 
 
 #: Names of the features; all are small whole numbers.
-FEATURES = ("kind", "digits", "groups", "separator", "sum_ok", "octets_ok", "last_part", "letters", "cue", "before", "after", "paren")
+FEATURES = ("kind", "groups", "separator", "digits", "letters", "local", "cue", "before", "after", "paren")
 
 
 def _features(kind: int, c: Column) -> list[Column]:
     name, m = KINDS[kind], c["m"]
+    numeric = name in ("card", "phone")
     n = F.length(_digits(m))
-    groups = F.size(F.split(m, "[^0-9A-Za-z]+"))
-    last = F.length(F.regexp_extract(m, "([A-Za-z]*)$", 1))
+    local = F.length(F.regexp_extract(m, "^([A-Za-z0-9._%+-]*)", 1))
     side = lambda x: F.when(x == "", 0).when(x.rlike(r"^[\s]$"), 1).when(x.rlike(r"^[.,;:!?'\")\]|(\[]$"), 2).when(x.rlike("^[0-9]$"), 3).otherwise(4)
     return [
         F.lit(kind).alias("kind"),
-        F.when(n < 7, 0).when(n < 9, 1).when(n < 12, 2).when(n < 13, 3).when(n <= 16, 4).when(n <= 19, 5).otherwise(6).alias("digits") if name in ("card", "phone") else F.lit(0).alias("digits"),
-        F.least(groups, F.lit(6)).alias("groups") if name in ("card", "phone") else F.lit(0).alias("groups"),
-        F.when(m.contains(" "), 1).when(m.contains("-"), 2).when(m.contains("."), 3).when(m.contains("/"), 4).otherwise(0).alias("separator") if name in ("card", "phone") else F.lit(0).alias("separator"),
-        (F.when(n.between(12, 19), luhn(_digits(m))).otherwise(False).cast("int") if name == "card" else F.lit(0)).alias("sum_ok"),
-        (m.rlike(f"^{OCTETS}$").cast("int") if name == "ip" else F.lit(0)).alias("octets_ok"),
-        (F.when(last.between(2, 6), 1).otherwise(0) if name == "email" else F.lit(0)).alias("last_part"),
+        (F.least(F.size(F.split(m, "[^0-9A-Za-z]+")), F.lit(6)) if numeric else F.lit(0)).alias("groups"),
+        (F.when(m.contains(" "), 1).when(m.contains("-"), 2).when(m.contains("."), 3).when(m.contains("/"), 4).otherwise(0) if numeric else F.lit(0)).alias("separator"),
+        (F.when(n < 12, 0).when(n < 16, 1).when(n == 16, 2).when(n <= 19, 3).otherwise(4) if name == "card" else F.lit(0)).alias("digits"),
         (m.rlike("[A-Za-z]").cast("int") if name == "ip" else F.lit(0)).alias("letters"),
+        (F.when(local < 3, 0).when(local < 6, 1).when(local < 12, 2).otherwise(3) if name == "email" else F.lit(0)).alias("local"),
         F.lower(c["before"]).rlike(CUES[name]).cast("int").alias("cue"),
         side(F.right(c["before"], F.lit(1))).alias("before"),
-        side(F.substring(c["after"], 1, 1)).alias("after"),
+        side(c["after"]).alias("after"),
         (m.contains("(").cast("int") if name == "phone" else F.lit(0)).alias("paren"),
     ]
 
@@ -146,7 +190,10 @@ class Trees:
     thresholds: dict[int, float] = field(default_factory=dict)
 
     def margin(self, row: dict[str, int]) -> float:
-        return self.bias + sum(v for tree in self.leaves for tests, v in tree if all((row[f] <= at) == yes for f, at, yes in tests))
+        total = self.bias
+        for tree in self.leaves:  # in the order of ``column``, so that both are equal to the last bit
+            total += next(v for tests, v in tree if all((row[f] <= at) == yes for f, at, yes in tests))
+        return total
 
     def column(self, f: Column) -> Column:
         """The margin as an expression over a struct of features."""
@@ -160,8 +207,8 @@ class Trees:
         return total
 
 
-def fit(rows: list[tuple[dict[str, int], int, float]], trees: int = TREES, depth: int = DEPTH, rate: float = RATE, precision: float = PRECISION) -> Trees:
-    """rows: features, label, how often.  Second-order boosting of the logistic loss with exact splits."""
+def fit(rows: list[tuple[dict[str, int], int, float]], held: list[tuple[dict[str, int], int, float]] | None = None, trees: int = TREES, depth: int = DEPTH, rate: float = RATE, precision: float = PRECISION, least: float = HELD_OUT) -> Trees:
+    """rows: features, label, how often.  Second-order boosting of the logistic loss with exact splits; held: rows for the thresholds."""
     if not any(y for _, y, _ in rows) or all(y for _, y, _ in rows):
         return Trees()
     total = sum(w for *_, w in rows)
@@ -195,63 +242,81 @@ def fit(rows: list[tuple[dict[str, int], int, float]], trees: int = TREES, depth
                 for i in inside:
                     margins[i] += value
         leaves.append(tuple(tree))
-    thresholds = {}
-    for kind in range(len(KINDS)):
-        own = sorted(((m, y, w) for m, (x, y, w) in zip(margins, rows) if x["kind"] == kind), reverse=True)
-        right = seen = 0.0
-        for i, (m, y, w) in enumerate(own):
-            right, seen = right + w * y, seen + w
-            if (i + 1 == len(own) or own[i + 1][0] < m) and right >= precision * seen and m > 0:
-                thresholds[kind] = m
-    return Trees(bias, tuple(leaves), thresholds)
+    made = Trees(bias, tuple(leaves))
+    held = rows if held is None else held
+    return replace(made, thresholds={k: t for k in range(len(KINDS)) if (t := _threshold(made, [r for r in held if r[0]["kind"] == k], precision, least)) is not None})
+
+
+def _threshold(trees: Trees, rows: list[tuple[dict[str, int], int, float]], precision: float, least: float) -> float | None:
+    """The least margin, above 0, from which on enough rows are right; None if too few rows show it."""
+    if sum(w for _, y, w in rows if not y) < least:
+        return None
+    found, right, seen = None, 0.0, 0.0
+    ranked = sorted(((trees.margin(x), y, w) for x, y, w in rows), reverse=True)
+    for i, (m, y, w) in enumerate(ranked):
+        right, seen = right + w * y, seen + w
+        if (i + 1 == len(ranked) or ranked[i + 1][0] < m) and seen >= least and right >= precision * seen and m > 0:
+            found = m
+    return found
+
+
+def measured(trees: Trees, rows: list[tuple[dict[str, int], int, float]]) -> dict[str, tuple[float, float, float, float]]:
+    """Of labelled rows by kind: positives, negatives, precision and recall above the threshold (nan without one)."""
+    out = {}
+    for k, kind in enumerate(KINDS):
+        own = [(y, w, trees.margin(x) >= trees.thresholds.get(k, math.inf)) for x, y, w in rows if x["kind"] == k]
+        taken, right, all_right = sum(w for _, w, t in own if t), sum(w for y, w, t in own if t and y), sum(w for y, w, _ in own if y)
+        out[kind] = all_right, sum(w for y, w, _ in own if not y), right / taken if taken else math.nan, right / all_right if taken and all_right else math.nan
+    return out
 
 
 # ---- on tables ---------------------------------------------------------------
 
 
-def _struct(kind: int, c: Column, base: Column, label: Column) -> Column:
-    return F.struct(F.lit(kind).alias("kind"), c["start"].alias("start"), (c["start"] + F.length(c["m"])).alias("end"), base.alias("base"), label.alias("label"), F.struct(*_features(kind, c)).alias("f"))
-
-
-def _matched(kind: int) -> Callable[[Column], Column]:
-    """A match of a base pattern: its own check is its label."""
-    return lambda c: _struct(kind, c, _valid(KINDS[kind], c["m"]), _valid(KINDS[kind], c["m"]).cast("int"))
-
-
-def _proposed(kind: int, free: Callable[[Column], Column]) -> Callable[[Column], Column]:
-    """A generator's proposal: of those that meet no base pattern, dates and versions are known to be wrong."""
-    return lambda c: _struct(kind, c, F.lit(False), F.when(free(c) & c["m"].rlike("^[0-9]+[./][0-9]+[./][0-9]+$"), 0))
+def _candidate(kind: int, c: Column, base: Column) -> Column:
+    label = F.when(base, 1).when(~c["check"], 0)
+    return F.struct(F.lit(kind).alias("kind"), c["start"].alias("start"), (c["start"] + F.length(c["m"])).alias("end"), base.alias("base"), c["check"].alias("check"), label.alias("label"), F.struct(*_features(kind, c)).alias("f"))
 
 
 def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``base``: the base spans, and ``more``: all candidates with features and labels (null: none known)."""
-    source = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    docs = docs.withColumn("_text", source)
+    """Adds ``_base``: the base spans, ``_more``: all candidates with features and labels (null: unknown), ``_part``: 0 for held-out texts."""
+    none = F.array().cast("array<string>")
+    # Marks are taken out of texts first, a character for a character.
+    docs = docs.withColumn("_text", F.translate(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), "\x01\x02", "\x03\x03"))
+    docs = docs.withColumn("_part", F.pmod(F.xxhash64("_text"), F.lit(4)).cast("int"))
+    found = []
     for k, kind in enumerate(KINDS):
-        docs = docs.withColumns({f"_b{k}": _found(F.col("_text"), BASE[kind], NEEDS[kind]), f"_g{k}": _found(F.col("_text"), GENERATORS[kind], NEEDS[kind])})
-    docs = docs.withColumns({f"_{s}{k}": _placed(F.col(f"_{s}{k}")) for s in "bg" for k in range(len(KINDS))})
-    for k in range(len(KINDS)):
-        docs = docs.withColumn(f"_c{k}", F.transform(f"_b{k}", _matched(k)))
-    bases = F.filter(F.concat(*(f"_c{k}" for k in range(len(KINDS)))), lambda c: c["base"])
+        docs = docs.withColumn("_parts", F.when(F.col("_text").rlike(NEEDS[kind]), _parts(F.col("_text"), BASE[kind])).otherwise(none))
+        docs = _matches(docs, "_parts", f"_b{k}", lambda m: _valid(kind, m)).withColumn(f"_b{k}", F.transform(f"_b{k}", lambda c: _candidate(k, c, c["check"])))
+        valid = lambda i: F.element_at(f"_b{k}", i)["base"]  # noqa: E731, B023
+        hidden = lambda x: F.concat(F.repeat(F.lit("\x04"), F.length(F.substring_index(x, "\x02", 1))), F.substring(x, F.length(F.substring_index(x, "\x02", 1)) + 2, F.length(x)))
+        masked = F.array_join(F.transform("_parts", lambda x, i: F.when(i == 0, x).otherwise(F.when(valid(i), hidden(x)).otherwise(F.translate(x, "\x02", "")))), "")
+        docs = docs.withColumn("_masked", masked)
+        docs = docs.withColumn("_parts", F.when(F.size("_parts") > 0, _parts(F.col("_masked"), GENERATORS[kind])).otherwise(none))
+        docs = _matches(docs, "_parts", f"_g{k}", lambda m: _checked(kind, m)).drop("_masked", "_parts")
+        docs = docs.withColumn(f"_g{k}", F.transform(f"_g{k}", lambda c: _candidate(k, c, F.lit(False))))
+        found += [f"_b{k}", f"_g{k}"]
+    bases = F.filter(F.concat(*(f"_b{k}" for k in range(len(KINDS)))), lambda c: c["base"])
     docs = docs.withColumn("_base", F.transform(bases, lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"))))
-    tried = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    for k in range(len(KINDS)):
-        tried = F.concat(tried, F.transform(f"_c{k}", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"))))
-    docs = docs.withColumn("_tried", tried)
-    free = lambda c: ~F.exists("_tried", lambda t: (t["start"] < c["start"] + F.length(c["m"])) & (c["start"] < t["end"]))
-    proposed = [F.transform(f"_g{k}", _proposed(k, free)) for k in range(len(KINDS))]
-    docs = docs.withColumn("_more", F.concat(*(f"_c{k}" for k in range(len(KINDS))), *proposed))
-    return docs.drop("_text", "_tried", *(f"_{s}{k}" for s in "bgc" for k in range(len(KINDS))))
+    return docs.withColumn("_more", F.concat(*found)).drop("_text", *found)
 
 
-def train(found: DataFrame) -> Trees:
-    """Trees from ``candidates``, by the counts of those with labels.
+Counts = list[tuple[dict[str, int], int, float]]
+
+
+def labelled(found: DataFrame) -> tuple[Counts, Counts]:
+    """Labelled ``candidates`` of the fitting and of the held-out texts, counted by their features.
 
     found must be a table: filters on exploded rows would else be pushed into
     the expressions that make them.
     """
-    rows = found.select(F.explode("_more").alias("c")).where("c.label is not null").groupBy("c.f", "c.label").count().collect()
-    return fit([(r["f"].asDict(), r["label"], float(r["count"])) for r in sorted(rows, key=str)])
+    rows = found.select((F.col("_part") == 0).alias("held"), F.explode("_more").alias("c")).where("c.label is not null").groupBy("held", "c.f", "c.label").count().collect()
+    parts = [[(r["f"].asDict(), r["label"], float(r["count"])) for r in sorted(rows, key=str) if r["held"] == side] for side in (False, True)]
+    return parts[0], parts[1]
+
+
+def train(found: DataFrame) -> Trees:
+    return fit(*labelled(found))
 
 
 def choose(found: DataFrame, trees: Trees) -> DataFrame:
@@ -260,16 +325,16 @@ def choose(found: DataFrame, trees: Trees) -> DataFrame:
     extra = none
     if trees.thresholds:
         limit = lambda c: reduce(lambda rest, k: F.when(c["kind"] == k, trees.thresholds[k]).otherwise(rest), trees.thresholds, F.lit(float("inf")))
-        chosen = F.filter("_more", lambda c: ~c["base"] & (trees.column(c["f"]) >= limit(c)))
+        chosen = F.filter("_more", lambda c: ~c["base"] & c["check"] & (trees.column(c["f"]) >= limit(c)))
         extra = F.transform(chosen, lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end")))
     out = found.withColumn("_extra", F.when(F.size("_more") > 0, extra).otherwise(none))
-    return out.drop("base", "found").withColumns({"base": F.array_sort("_base"), "found": F.array_sort(F.array_union("_base", "_extra"))}).drop("_base", "_more", "_extra")
+    return out.drop("base", "found").withColumns({"base": F.array_sort("_base"), "found": F.array_sort(F.concat("_base", "_extra"))}).drop("_base", "_more", "_extra", "_part")
 
 
 def spans(docs: DataFrame) -> DataFrame:
     """docs with ``base`` and ``found`` by trees fitted to all of them."""
-    trees = train(materialize(candidates(docs.select("text")).select("_more"), "personal-candidates"))
-    return choose(candidates(docs), trees)
+    found = materialize(candidates(docs.drop("base", "found")), "personal-candidates")
+    return choose(found, train(found))
 
 
 def listed(found: Column) -> Column:
@@ -282,22 +347,26 @@ def count(found: Column, kind: str) -> Column:
     return F.size(F.filter(found, lambda s: s["kind"] == KINDS.index(kind))).cast("long")
 
 
-def redacted(text: Column, found: Column) -> Column:
-    """text with ``[KIND]`` for every span; spans that overlap are one, named by the first."""
-    none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
-
-    def merge(acc: Column, s: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        joined = F.struct(last["start"].alias("start"), last["kind"].alias("kind"), F.greatest(last["end"], s["end"]).alias("end"))
-        return F.when(last["end"] > s["start"], F.array_append(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), joined)).otherwise(F.array_append(acc, s))
-
-    merged = F.aggregate(found, none, merge)
+def redacted(docs: DataFrame, text: str = "text", found: str = "found") -> DataFrame:
+    """docs with ``[KIND]`` in the text for every span of found; spans that overlap are one, named by the first."""
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def cut(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        return F.struct(s["end"].alias("at"), F.array_append(F.array_append(acc["out"], gap), F.element_at(names, s["kind"] + 1)).alias("out"))
-
-    rest = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, (acc["at"] + 1).cast("int"), F.length(text)))
-    return F.when(F.size(found) > 0, F.aggregate(merged, start, cut, rest)).otherwise(text)
+    body = F.col(f"`{text}`")
+    some = F.size(found) > 0
+    ends = F.col("_ends")
+    # All ends before a span, and tiles that a cut reads instead of the whole text.
+    docs = docs.withColumn("_ends", F.transform(found, lambda s: s["end"]))
+    docs = docs.withColumn("_done", F.when(some, _scanned(ends, F.lit(0).cast("bigint"), lambda a, x: F.greatest(a, x)))).withColumn("_tiles", F.when(some, F.regexp_extract_all(body, F.lit(f"(?s).{{1,{TILE}}}"), F.lit(0))))
+
+    def cut(a: Column, b: Column) -> Column:
+        tile = lambda x: F.coalesce(F.try_element_at("_tiles", (F.floor(x / TILE) + 1).cast("int")), F.lit(""))
+        first, last = F.floor(a / TILE).cast("int"), F.floor(b / TILE).cast("int")
+        middle = F.array_join(F.slice("_tiles", first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+        apart = F.concat(F.substring(tile(a), (a % TILE + 1).cast("int"), F.lit(TILE)), middle, F.substring(tile(b), F.lit(1), (b % TILE).cast("int")))
+        return F.when(first == last, F.substring(tile(a), (a % TILE + 1).cast("int"), (b - a).cast("int"))).otherwise(apart)
+
+    def one(s: Column, i: Column) -> Column:
+        done = F.element_at("_done", i + 1)
+        return F.when(s["start"] >= done, F.concat(cut(done, s["start"]), F.element_at(names, s["kind"] + 1))).otherwise("")
+
+    clean = F.concat(F.array_join(F.transform(found, one), ""), cut(F.array_max(ends), F.length(body).cast("bigint")))
+    return docs.withColumn(text, F.when(some, clean).otherwise(body)).drop("_ends", "_done", "_tiles")
