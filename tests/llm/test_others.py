@@ -1,4 +1,6 @@
+import math
 import random
+import re
 import zlib
 
 import pyarrow as pa
@@ -135,7 +137,7 @@ def test_simhash_against_brute_force(spark):
     family = [bits[0] ^ (1 << i) ^ (1 << j) for i in range(12) for j in range(i)]
     fps = [*bits, *family, bits[1] ^ 1, bits[1] ^ 7, 0, 1, 6]
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    classes = spark.createDataFrame([(f, i) for i, f in enumerate(signed)], "fp long, rep long")
+    classes, at = spark.createDataFrame([(f,) for f in signed], "fp long"), {f: i for i, f in enumerate(signed)}
     want = {(a, b) for a in range(len(fps)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 2}
 
     def parts(links):
@@ -146,7 +148,7 @@ def test_simhash_against_brute_force(spark):
         return up
 
     for crowd in (2, 24, 1000):
-        got = {(r.src, r.dst) for r in simhash.links(classes, pair_cell=crowd).collect()}
+        got = {(at[r.src], at[r.dst]) for r in simhash.links(classes, pair_cell=crowd).collect()}
         assert parts(got) == parts(want)
 
 
@@ -156,6 +158,26 @@ def test_simhash_odd_rows(odd):
     assert {r.component_id for r in found if r.doc_id in (1, 2)} == {1}
 
 
+def test_simhash_links_through_rows_without_an_id(spark, monkeypatch):
+    rows = spark.createDataFrame([(5, 0), (None, 3), (9, 15), (None, -1)], "doc_id long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda *_: rows)
+    assert sorted(simhash.near_duplicates(None).collect(), key=str) == [(5, 0, 5), (9, 15, 5), (None, -1, None), (None, 3, 5)]
+
+
+def test_fingerprints_against_brute_force(spark):
+    from xxhash import xxh64_intdigest
+
+    rng = random.Random(9)
+    texts = [None, "", "One", "one TWO", "Ä ä\tÄ\x0b\x0c\r\nB É"] + [" ".join(rng.choice(["a", "B", "Éa", "漢\u00a0x", "dd"]) for _ in range(rng.randrange(60))) for _ in range(80)]
+    for r in simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id", simhash.hex_digits(F.col("fp")).alias("f")).collect():
+        lowered = "".join(c.lower() if "A" <= c <= "Z" else c for c in texts[r.doc_id] or "")
+        words = [w for w in re.split("[\x20\x09-\x0d]+", lowered) if w]
+        grams = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+        hashes = [xxh64_intdigest(g.encode(), 42) for g in grams]
+        bits = sum(1 << i for i in range(64) if 2 * sum(h >> i & 1 for h in hashes) > len(hashes))
+        assert r.f == f"{bits:016x}"
+
+
 def test_quality_odd_rows(odd):
     found = quality.rules(odd).collect()
     assert len(found) == len(ODD) and {r.n_words for r in found} == {0, 3, 30_000}
@@ -191,6 +213,17 @@ def test_packing_odd_rows(odd):
     assert sorted(by) == list(range(len(by)))
 
 
+def test_kdtree_against_brute_force_over_many_shards(spark):
+    rng = random.Random(4)
+    centres = [[rng.uniform(-1, 1) for _ in range(6)] for _ in range(12)]
+    rows = [(i, [rng.gauss(m, 0.1) for m in centres[i % 12]]) for i in range(900)] + [(i, [0.5] * 6) for i in range(900, 1500)] + [(1600, [0.25] * 3)]
+    whole = {i: [math.floor(1024 * x) for x in v] + [0] * (6 - len(v)) for i, v in rows}
+    found = top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=7, shard_rows=50).collect()
+    want = {(q, r + 1, i, -s) for q in whole if q % 100 == 0 for r, (s, i) in enumerate(sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q)[:7])}
+    assert {tuple(r) for r in found} == want and len(found) == len(want)
+    assert top_k(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
+
+
 def test_kdtree_ties_and_odd_vectors(spark):
     rows = [(i, [float(i % 3), 0.5]) for i in range(250)] + [(300, None), (301, [float("nan"), 1.0]), (302, [None, 1.0]), (None, [9.0, 9.0]), (100, [9.0, 9.0])]
     found = top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=3, shard_rows=64).collect()

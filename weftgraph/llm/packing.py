@@ -23,6 +23,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -79,14 +80,19 @@ def _inverse(matrix: np.ndarray) -> np.ndarray:
     return both[:, m:]
 
 
-def column_generation(sizes: np.ndarray, demand: np.ndarray, room: int, gap: float = GAP, most: int = 4000) -> tuple[np.ndarray, np.ndarray]:
-    """Patterns (one a column) and how often each is used, at least meeting the demand."""
+def column_generation(sizes: np.ndarray, demand: np.ndarray, room: int, gap: float = GAP) -> tuple[np.ndarray, np.ndarray]:
+    """Patterns (one a column) and how often each is used, at least meeting the demand.
+
+    The demand is raised by less than a thousandth of a piece, differently for
+    every size: no two ratios tie then, so that no basis comes back.
+    """
     m = len(sizes)
+    demand = demand + np.sqrt(np.arange(2, m + 2)) / (1000 * np.sqrt(m + 2))
     basis = np.diag((room // sizes).astype(float))
     inverse = np.diag(1.0 / np.diag(basis))
     used = (inverse * demand).sum(axis=1)
     least = float((demand * sizes).sum()) / room  # no plan has fewer sequences than the tokens fill
-    for step in range(most):
+    for step in count():
         if used.sum() <= (1 + gap) * least:
             break
         duals = inverse.sum(axis=0)

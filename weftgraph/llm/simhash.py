@@ -14,8 +14,8 @@ can meet in one entry, so that way is linear and misses nothing.
 
 Defined results: a null text counts as empty; no words give fingerprint zero,
 linked like any other; equal fingerprints form one class before any linking,
-so copies are never paired.  A null doc_id stays in the result and never names
-a component that has another id.  Extra columns are ignored.
+so copies are never paired.  A null doc_id stays in the result, links others
+like any id, and never names a component that has another id.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -82,7 +82,7 @@ def _grid(classes: DataFrame) -> DataFrame:
     for i in range(SEGMENTS):
         count = F.shiftrightunsigned(own, 4 * i).bitwiseAND(F.lit(15))
         steps += [F.when(count < 4, own + (1 << 4 * i)), F.when(count > 0, own - (1 << 4 * i))]
-    return classes.withColumn("own", _cell(F.col("fp"))).select("fp", "rep", F.explode(F.array(*steps)).alias("cell")).where("cell is not null")
+    return classes.withColumn("own", _cell(F.col("fp"))).select("fp", F.explode(F.array(*steps)).alias("cell")).where("cell is not null")
 
 
 def _ball(fp: Column) -> Column:
@@ -91,7 +91,7 @@ def _ball(fp: Column) -> Column:
 
 
 def links(classes: DataFrame, distance: int = 2, pair_cell: int = PAIR_CELL) -> DataFrame:
-    """``(src, dst)``: links of classes(fp, rep) that join all within ``distance`` (at most 2) bits.
+    """``(src, dst)``: links between the fingerprints of classes(fp) that join all within ``distance`` (at most 2) bits.
 
     Every component of the full link graph is a component of these.
     """
@@ -100,25 +100,27 @@ def links(classes: DataFrame, distance: int = 2, pair_cell: int = PAIR_CELL) ->
     grid = _grid(classes)
     shared = materialize(grid.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1"), "simhash-cells")
     near = materialize(grid.join(shared, "cell"), "simhash-near")
-    few = near.where(F.col("n") <= pair_cell).select("cell", "fp", "rep")
-    other = few.select("cell", F.col("fp").alias("fp2"), F.col("rep").alias("rep2"))
+    few = near.where(F.col("n") <= pair_cell).select("cell", "fp")
+    other = few.select("cell", F.col("fp").alias("fp2"))
     apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2")))
-    pairs = few.join(other, (few["cell"] == other["cell"]) & (F.col("fp") < F.col("fp2")) & (apart <= distance)).select(F.col("rep").alias("src"), F.col("rep2").alias("dst"))
-    crowded = near.where(F.col("n") > pair_cell).select("fp", "rep").distinct()
-    met = crowded.select("fp", "rep", F.explode(_ball(F.col("fp"))).alias("at")).groupBy("at").agg(F.collect_list(F.struct("rep", "fp")).alias("all")).where(F.size("all") > 1)
+    pairs = few.join(other, (few["cell"] == other["cell"]) & (F.col("fp") < F.col("fp2")) & (apart <= distance)).select(F.col("fp").alias("src"), F.col("fp2").alias("dst"))
+    crowded = near.where(F.col("n") > pair_cell).select("fp").distinct()
+    met = crowded.select("fp", F.explode(_ball(F.col("fp"))).alias("at")).groupBy("at").agg(F.collect_list("fp").alias("all")).where(F.size("all") > 1)
     first = F.array_min("all")
-    star = met.select(first.alias("first"), F.explode("all").alias("one")).where(F.bit_count(F.col("first.fp").bitwiseXOR(F.col("one.fp"))) <= 2)
+    star = met.select(first.alias("first"), F.explode("all").alias("one")).where(F.bit_count(F.col("first").bitwiseXOR(F.col("one"))) <= 2)
     if distance < 2:  # a shared list entry only says two bits; check every pair of the at most 65 members
-        star = met.select(F.explode("all").alias("first"), "all").select("first", F.explode("all").alias("one")).where(F.bit_count(F.col("first.fp").bitwiseXOR(F.col("one.fp"))) <= distance)
-    return pairs.unionByName(star.where("first.rep <> one.rep").select(F.col("first.rep").alias("src"), F.col("one.rep").alias("dst"))).distinct()
+        star = met.select(F.explode("all").alias("first"), "all").select("first", F.explode("all").alias("one")).where(F.bit_count(F.col("first").bitwiseXOR(F.col("one"))) <= distance)
+    return pairs.unionByName(star.where("first <> one").select(F.col("first").alias("src"), F.col("one").alias("dst"))).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, seed: int = SEED, distance: int = 2, pair_cell: int = PAIR_CELL) -> DataFrame:
     """``(doc_id, fp, component_id)`` for every row of docs."""
     made = materialize(fingerprints(docs, width, seed), "simhash-docs")
     classes = materialize(made.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-classes")
-    parts = connected_components(links(classes.where("rep is not null"), distance, pair_cell)).withColumnRenamed("id", "rep")
-    label = materialize(classes.join(parts, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id")), "simhash-labels")
+    parts = connected_components(links(classes.select("fp"), distance, pair_cell)).withColumnRenamed("id", "fp")
+    placed = materialize(classes.join(parts, "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("component")), "simhash-parts")
+    least = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
+    label = materialize(placed.join(materialize(least, "simhash-least"), "component").select("fp", "component_id"), "simhash-labels")
     return made.join(label, "fp").select("doc_id", "fp", "component_id")
 
 

@@ -4,8 +4,9 @@ An archive starts with a skippable frame (magic 0x184D2A5D) that holds the
 dictionary; each record is one frame with that dictionary.  Spark's text writer
 puts the frames into the shared file system, whatever that is: its line
 separator is an empty skippable frame, so what it leaves is a plain sequence
-of Zstandard frames.  Archives hold about ``ARCHIVE_BYTES`` of payload, are
-split further if one task gets more, and are read whole by one task each.
+of Zstandard frames.  Pages are dealt in turn to so many
+archives that they hold ``ARCHIVE_BYTES`` of payload on average; an archive is
+read whole by one task.
 
 The reader takes the dictionary from the leading frame, decodes one frame for
 each record, and raises on a bad magic number, a frame that doesn't end where
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import materialize, shared_dir, small_batches
+from ..runtime import batches_of, materialize, shared_dir, small_batches
 
 LEAST_SHARED = 1000
 ARCHIVE_BYTES = 32_000_000
@@ -200,7 +201,8 @@ def write_archives(rows: DataFrame, dictionary: bytes, archive_bytes: int = ARCH
     parts = max(1, -(-size // archive_bytes))
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     frames = rows.repartition(parts).mapInArrow(run, "frame binary")
-    frames.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", SEPARATOR).text(path)
+    with batches_of(spark, 64):
+        frames.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", SEPARATOR).text(path)
     return path
 
 
@@ -228,14 +230,13 @@ def read_archives(spark, path: str) -> DataFrame:
                 if held:
                     yield out(held)
 
-    small_batches(spark, 1)
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORDS)
+    with batches_of(spark, 1):  # one archive at a time
+        return materialize(spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORDS), "warc-records")
 
 
 def archive(pages: DataFrame, least: int = LEAST_SHARED, archive_bytes: int = ARCHIVE_BYTES) -> str:
     """Write all pages(page_id, url, html); returns the folder of the archives."""
-    spark = pages.sparkSession
-    small_batches(spark, 64)
+    small_batches(pages.sparkSession)
     plain = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     payload = F.col("html").cast("binary")
     keyed = plain.select("page_id", "url", payload.alias("payload"), F.octet_length("html").cast("long").alias("payload_bytes"), F.sha1(payload).alias("digest"))
