@@ -35,12 +35,79 @@ def test_contexts_help_on_held_out_text_and_sum_to_one(spark):
 
     model = suffixtree.learn(docs)
     tree, roots = model.tree, model.roots
-    assert len(tree.contexts)
-    for state in range(len(tree.contexts)):
+    assert len(tree.rest)
+    for state in range(len(tree.rest)):
         p = tree.probability(np.full(len(roots), state), np.arange(len(roots)), roots)
         unknown = tree.probability(np.array([state]), np.array([-1]), np.array([1 - roots.sum()]))
         assert abs(p.sum() + unknown[0] - 1) < 1e-9
 
 
+def brute_scores(rows, held):
+    """The suffix tree in dictionaries, contexts of up to three tokens."""
+    count, follow = Counter(), {}
+    for i, x, _ in rows:
+        if held(i):
+            continue
+        ts = tokens(x)
+        count.update(ts)
+        for at, t in enumerate(ts):
+            past = ("START", *ts[:at])
+            for d in range(1, min(3, len(past)) + 1):
+                follow.setdefault(past[-d:], Counter())[t] += 1
+    n, v = sum(count.values()), len(count)
+    floor, least = suffixtree.floors(n)
+    root = lambda t: (count[t] + 1) / (n + v + 1)
+    kept = {}
+
+    def suffix(c):
+        while c and c not in kept:
+            c = c[1:]
+        return c
+
+    def p(c, t):
+        return kept[c][1].get(t, 0.0) + kept[c][0] * p(suffix(c[1:]), t) if c else root(t)
+
+    for c in sorted(follow, key=lambda c: (len(c), c)):
+        times, total = follow[c], sum(follow[c].values())
+        symbols = sorted(t for t, k in times.items() if k >= least and count[t] >= least)
+        # A start is a candidate however seldom it occurs, a longer context if it occurs often enough.
+        if not symbols or any(count[w] < least for w in c if w != "START") or c != ("START",) and context_count(follow, count, c) < floor:
+            continue
+        share = {t: (times[t] - 0.7) / total for t in symbols}
+        rest, up = 1 - sum(share.values()), {t: p(suffix(c[1:]), t) for t in symbols}
+        q = {t: share[t] + rest * up[t] for t in symbols}
+        other, above = max(1 - sum(q.values()), 1e-12), max(1 - sum(up.values()), 1e-12)
+        kl = sum(q[t] * math.log(q[t] / up[t]) for t in symbols) + other * math.log(other / above)
+        if kl >= 0.01 and kl * total >= 10:
+            kept[c] = rest, share
+    for _, x, _ in rows:
+        past, total = ("START",), 0.0
+        for t in tokens(x):
+            total += math.log10(p(suffix(past[-3:]), t))
+            past += (t,)
+        yield total
+    assert any(len(c) == 3 for c in kept)
+
+
+def context_count(follow, count, c):
+    return count[c[0]] if len(c) == 1 else follow.get(c[:-1], {}).get(c[-1], 0)
+
+
+def test_scores_against_brute_force(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = []
+    for i in range(150):
+        x = [rng.choice("abcdefg") for _ in range(3)]
+        while rng.random() < 0.97:
+            x.append({"a": "b", "b": x[-2]}.get(x[-1], rng.choice("abcdefg")) if rng.random() < 0.8 else rng.choice(["rare%d" % rng.randrange(300), *"abc"]))
+        rows.append((i, " ".join(x), None))
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    got = {r.doc_id: r.score for r in suffixtree.language_model(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for (i, _, _), want in zip(rows, brute_scores(rows, held)):
+        assert abs(got[i] - want) < 1e-6 * max(1, abs(want)), i
+
+
 def test_empty_table(spark):
     assert suffixtree.language_model(spark.createDataFrame([], SCHEMA)).count() == 0

@@ -2,23 +2,25 @@
 
 Tokens are the blank-separated words with A-Z in lower case, then one end mark.
 The tree's root is the distribution of single tokens, (c + 1) / (N + V + 1),
-with one share for all unknown words.  Inner states are contexts of one or two
-preceding tokens (the start of a text counts as a token of the context).  A
-context is a candidate if it makes up at least ``P_MIN`` of all tokens; it is
-retained if its next-symbol distribution diverges from that of its longest
-retained suffix: a Kullback-Leibler divergence of at least ``MIN_KL`` nats that
-also passes ``MIN_GAIN`` nats over all its occurrences.  Distributions are
-smoothed by absolute discounting: what a state takes from its own counts is
-given back to its parent's distribution, so each sums to one.  A token is
-scored in the longest retained suffix of what precedes it.
+with one share for all unknown words.  Inner states are contexts of up to
+``DEPTH`` preceding tokens (the start of a text counts as a token of the
+context).  A context is a candidate if it occurs ``sqrt(N) / CONTEXTS`` times;
+it is retained if its next-symbol distribution diverges from that of its
+longest retained suffix: a Kullback-Leibler divergence of at least ``MIN_KL``
+nats that also passes ``MIN_GAIN`` nats over all its occurrences.  Next symbols
+are stored that follow it ``sqrt(N) / PAIRS`` times; the others share what the
+state leaves.  Distributions are smoothed by absolute discounting: what a state
+takes from its own counts is given back to its parent's distribution, so each
+sums to one.  A token is scored in the longest retained suffix of what precedes
+it.
 
 Sizes.  The text is read once, in blocks of about ``BLOCK_BYTES`` that a task
 gathers: each block leaves its distinct words with counts, and its tokens as
 places in that list.  The root's counts grow with the corpus and are never
 broadcast: blocks look their own words up by one equi-join and get the answers
-in a cogroup.  States are at most 2 / P_MIN and stored pairs of state and next
-symbol at most 2 / P_PAIR, whatever the corpus (each stands for that share of
-all tokens at least), so they are sent to every executor.
+in a cogroup.  States and stored next symbols grow with the root of the corpus:
+there are at most ``DEPTH * CONTEXTS * sqrt(N)`` and ``DEPTH * PAIRS * sqrt(N)``
+of them, of 24 bytes, and they are sent to every executor.
 
 Defined results: a null or empty text is the end mark alone; repeated rows are
 scored, and learned from, as often as they occur; without training rows every
@@ -39,7 +41,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import materialize, small_batches
 
-P_MIN, P_PAIR = 2e-5, 1e-6
+DEPTH, CONTEXTS, PAIRS = 3, 8, 128
 MIN_KL, MIN_GAIN, LEAST, DISCOUNT = 0.01, 10.0, 3, 0.7
 BLOCK_BYTES = 16_000_000
 #: Stands for the end of a text among words, and can't be one.
@@ -122,13 +124,16 @@ def _blocks(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
 class Tree:
     """Symbols are numbered by their place in ``symbols``; START is their number, other words None.
 
-    A context is ``older * base + newer`` with both shifted by one, older 0 for
-    one word; ``rest`` is what a state leaves to its parent.  ``pairs`` are
-    ``state * base + symbol + 1``, with the state's own share of that symbol.
+    ``levels`` are the candidates of each depth, as sorted keys: the candidate's
+    suffix without its oldest token (a place in the level before) times ``base``
+    plus that token's number + 1.  ``state`` says which state a candidate is, if
+    it is retained; ``rest`` is what a state leaves to its parent.  ``pairs``
+    are ``state * base + symbol + 1``, with the state's own share of that symbol.
     """
 
     symbols: list[str]
-    contexts: np.ndarray
+    levels: list[np.ndarray]
+    state: list[np.ndarray]
     rest: np.ndarray
     parent: np.ndarray
     pairs: np.ndarray
@@ -138,25 +143,33 @@ class Tree:
     def base(self) -> int:
         return len(self.symbols) + 3
 
-    def _find(self, sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    @staticmethod
+    def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
         if not len(sorted_keys):
             return np.full(len(keys), -1)
         at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
         return np.where(sorted_keys[at] == keys, at, -1)
 
-    def states(self, older: np.ndarray, newer: np.ndarray) -> np.ndarray:
-        """The longest retained suffix, -1 for the root; NONE and words that aren't symbols match nothing."""
-        one = self._find(self.contexts, np.where(newer != NONE, newer + 1, -1))
-        two = self._find(self.contexts, np.where((newer != NONE) & (older != NONE), (older + 1) * self.base + newer + 1, -1))
-        return np.where(two >= 0, two, one)
+    def places(self, earlier: list[np.ndarray]) -> list[np.ndarray]:
+        """The candidate of each depth, or -1; earlier: the tokens one, two, ... before; NONE and words that aren't symbols match nothing."""
+        out, at = [], np.zeros(len(earlier[0]) if earlier else 0, dtype=np.int64)
+        for keys, token in zip(self.levels, earlier):
+            at = self._find(keys, np.where((at >= 0) & (token != NONE), at * self.base + token + 1, -1))
+            out.append(at)
+        return out
+
+    def states(self, earlier: list[np.ndarray]) -> np.ndarray:
+        """The longest retained suffix, -1 for the root."""
+        out = np.full(len(earlier[0]) if earlier else 0, -1)
+        for state, at in zip(self.state, self.places(earlier)):
+            if len(state):
+                own = np.where(at >= 0, state[at], -1)
+                out = np.where(own >= 0, own, out)
+        return out
 
     def probability(self, state: np.ndarray, symbol: np.ndarray, root: np.ndarray) -> np.ndarray:
         out, left = np.zeros(len(root)), np.ones(len(root))
-        state = state.copy()
-        for _ in range(2):
-            live = state >= 0
-            if not live.any():
-                break
+        while len(state) and (live := state >= 0).any():
             at = self._find(self.pairs, np.where(live & (symbol >= 0), state * self.base + symbol + 1, -1))
             out += np.where(at >= 0, left * (self.share[at] if len(self.share) else 0), 0)
             left = np.where(live, left * self.rest[state], left)
@@ -170,25 +183,19 @@ def _sequences(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].astype(np.int64), (offsets - offsets[0])[1:]
 
 
-def _pairs_of(tree: Tree, depth: int, wanted: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(context, symbol, n) for the wanted contexts; symbol -1 stands for all rarer tokens."""
-    start = len(tree.symbols)
+def _pairs_of(tree: Tree, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(context, symbol, n) for the candidates of the last level; symbol -1 stands for all rarer tokens."""
+    start, depth = len(tree.symbols), len(tree.levels)
 
     def out(parts: list[np.ndarray]) -> pa.RecordBatch:
         both, n = np.unique(np.concatenate(parts), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(wanted[both // tree.base]), pa.array(both % tree.base - 1), pa.array(n)], names=["context", "symbol", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(both // tree.base), pa.array(both % tree.base - 1), pa.array(n)], names=["context", "symbol", "n"])
 
     held, size = [], 0
     for batch in batches:
         own, ends = _sequences(batch)
-        one = before(own, ends, 1, start)
-        live = one >= 0
-        key = one[live] + 1
-        if depth == 2:
-            two = before(own, ends, 2, start)[live]
-            key = np.where(two >= 0, (two + 1) * tree.base + key, 0)
-        at = tree._find(wanted, key)
-        held.append(at[at >= 0] * tree.base + own[live][at >= 0] + 1)
+        at = tree.places([before(own, ends, k + 1, start) for k in range(depth)])[-1]
+        held.append(at[at >= 0] * tree.base + own[at >= 0] + 1)
         size += len(held[-1])
         if size > 4_000_000:
             yield out(held)
@@ -197,63 +204,75 @@ def _pairs_of(tree: Tree, depth: int, wanted: np.ndarray, batches: Iterator[pa.R
         yield out(held)
 
 
-def _grown(tree: Tree, pairs: dict, roots: np.ndarray) -> Tree:
-    """The tree with those contexts of ``pairs`` (context: (all, symbols, counts)) that diverge."""
-    new = []
-    for context, (total, symbols, counts) in sorted(pairs.items()):
-        newer = context % tree.base - 1
-        at = int(tree.states(np.array([NONE]), np.array([newer]))[0]) if context >= tree.base else -1
-        parent = tree.probability(np.full(len(symbols), at), symbols, roots[symbols])
-        share = (counts - DISCOUNT) / total
-        rest = 1 - share.sum()
-        p = share + rest * parent
-        # Over the stored symbols, and all others as one.
-        other, other_parent = max(1 - p.sum(), 1e-12), max(1 - parent.sum(), 1e-12)
-        kl = float((p * np.log(p / parent)).sum() + other * np.log(other / other_parent))
-        if kl >= MIN_KL and kl * total >= MIN_GAIN:
-            new.append((context, rest, at, symbols, share))
-    if not new:
+def _grown(tree: Tree, context: np.ndarray, symbol: np.ndarray, counts: np.ndarray, totals: np.ndarray, roots: np.ndarray) -> Tree:
+    """The tree with those candidates of its last level that diverge.
+
+    context (ascending), symbol, counts: the pairs to be stored; totals: by candidate.
+    """
+    if not len(context):
         return tree
-    contexts = np.concatenate([tree.contexts, np.array([x[0] for x in new], dtype=np.int64)])
-    order = np.argsort(contexts)
-    place = np.empty_like(order)
-    place[order] = np.arange(len(order))
-    old = len(tree.contexts)
-    parent = np.concatenate([tree.parent, np.array([x[2] for x in new], dtype=np.int64)])
-    parent = np.where(parent >= 0, place[np.maximum(parent, 0)], -1)
-    pairs_old = place[tree.pairs // tree.base] * tree.base + tree.pairs % tree.base if len(tree.pairs) else tree.pairs
-    pairs_new = np.concatenate([place[old + i] * tree.base + x[3] + 1 for i, x in enumerate(new)])
-    all_pairs, share = np.concatenate([pairs_old, pairs_new]), np.concatenate([tree.share, *(x[4] for x in new)])
-    by = np.argsort(all_pairs)
-    return Tree(tree.symbols, contexts[order], np.concatenate([tree.rest, np.array([x[1] for x in new])])[order], parent[order], all_pairs[by], share[by])
-
-
-def grow(sequences: DataFrame, symbols: list[str], n: np.ndarray, total: int, distinct: int, p_min: float = P_MIN, p_pair: float = P_PAIR) -> Tree:
+    # The longest retained suffix of each candidate, level by level.
+    longest = np.full(1, -1)
+    for keys, state in zip(tree.levels, tree.state):
+        above = longest[keys // tree.base]
+        longest = np.where(state >= 0, state, above)
+    starts = np.flatnonzero(np.diff(context, prepend=-1))
+    of = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(context)))
+    who, total = context[starts], totals[context[starts]].astype(np.float64)
+    parent = tree.probability(above[who][of], symbol, roots[symbol])
+    share = (counts - DISCOUNT) / total[of]
+    rest = 1 - np.add.reduceat(share, starts)
+    p = share + rest[of] * parent
+    # Over the stored symbols, and all others as one.
+    other, other_parent = (np.maximum(1 - np.add.reduceat(x, starts), 1e-12) for x in (p, parent))
+    kl = np.add.reduceat(p * np.log(p / parent), starts) + other * np.log(other / other_parent)
+    keep = (kl >= MIN_KL) & (kl * total >= MIN_GAIN)
+    number = np.where(keep, len(tree.rest) + keep.cumsum() - 1, -1)
+    state = tree.state[-1].copy()
+    state[who[keep]] = number[keep]
+    stored = keep[of]
+    pairs = number[of][stored] * tree.base + symbol[stored] + 1  # numbers rise, and so do symbols in each
+    return Tree(tree.symbols, tree.levels, [*tree.state[:-1], state], np.concatenate([tree.rest, rest[keep]]), np.concatenate([tree.parent, above[who][keep]]), np.concatenate([tree.pairs, pairs]), np.concatenate([tree.share, share[stored]]))
+
+
+def floors(total: int) -> tuple[float, float]:
+    """How often a context, and a next symbol in it, must occur."""
+    return max(LEAST, total**0.5 / CONTEXTS), max(LEAST, total**0.5 / PAIRS)
+
+
+def grow(sequences: DataFrame, symbols: list[str], n: np.ndarray, total: int, distinct: int, most: int = DEPTH) -> Tree:
     """The tree of the training rows of sequences(held_out, symbols); symbols with their counts n."""
     train = sequences.where(~F.col("held_out")).select("symbols")
     none = np.zeros(0, dtype=np.int64)
-    tree = Tree(symbols, none, np.zeros(0), none, none, np.zeros(0))
+    tree = Tree(symbols, [], [], np.zeros(0), none, none, np.zeros(0))
     roots = (n + 1) / (total + distinct + 1)
-    least, floor = max(LEAST, p_pair * total), max(LEAST, p_min * total)
-    wanted = np.append(np.flatnonzero(n >= floor) + 1, len(symbols) + 1).astype(np.int64)  # the last: a text's start
-    for depth in (1, 2):
-        here, at = tree, wanted
-
-        def run(batches: Iterator[pa.RecordBatch], tree: Tree = here, depth: int = depth, at: np.ndarray = at) -> Iterator[pa.RecordBatch]:
-            return _pairs_of(tree, depth, at, batches)
+    floor, least = floors(total)
+    end = symbols.index(END) if END in symbols else NONE
+    words = np.append(np.flatnonzero((n >= floor) & (np.arange(len(n)) != end)), len(symbols))[:, None]  # the last: a text's start
+    keys = words[:, 0] + 1
+    for depth in range(1, most + 1):
+        order = np.argsort(keys)
+        words, keys = words[order], keys[order].astype(np.int64)
+        tree = Tree(symbols, [*tree.levels, keys], [*tree.state, np.full(len(keys), -1)], tree.rest, tree.parent, tree.pairs, tree.share)
+
+        def run(batches: Iterator[pa.RecordBatch], tree: Tree = tree) -> Iterator[pa.RecordBatch]:
+            return _pairs_of(tree, batches)
 
         found = materialize(train.mapInArrow(run, "context long, symbol long, n long").groupBy("context", "symbol").agg(F.sum("n").alias("n")), f"suffixtree-{depth}")
-        totals = dict(zip(*(c.to_pylist() for c in found.groupBy("context").agg(F.sum("n")).toArrow().columns)))
-        stored = found.where((F.col("symbol") >= 0) & (F.col("n") >= least)).toArrow()  # at most 1 / p_pair rows
-        context, symbol, k = (stored.column(i).to_numpy() for i in range(3))
+        by, k = (c.to_numpy() for c in found.groupBy("context").agg(F.sum("n").alias("n")).toArrow().columns)  # as many rows as candidates
+        totals = np.zeros(len(keys), dtype=np.int64)
+        totals[by] = k
+        context, symbol, k = (c.to_numpy() for c in found.where((F.col("symbol") >= 0) & (F.col("n") >= least)).toArrow().columns)
         order = np.lexsort((symbol, context))
         context, symbol, k = context[order], symbol[order], k[order].astype(np.float64)
-        cuts = np.flatnonzero(np.diff(context)) + 1
-        parts = {int(c[0]): (totals[int(c[0])], s, x) for c, s, x in zip(np.split(context, cuts), np.split(symbol, cuts), np.split(k, cuts)) if len(c)}
-        tree = _grown(tree, parts, roots)
-        wanted = np.sort(context[k >= floor] * tree.base + symbol[k >= floor] + 1)
-        if not len(wanted):
+        tree = _grown(tree, context, symbol, k, totals, roots)
+        often = (k >= floor) & (symbol != end)
+        words = np.column_stack([words[context[often]], symbol[often]])
+        if depth == most or not len(words):
             break
+        # The oldest token becomes the last part of the key; what is newer is a candidate of this depth, as it occurs as often.
+        suffix = tree.places([words[:, -1 - i] for i in range(depth)])[-1]
+        words, keys = words[suffix >= 0], (suffix * tree.base + words[:, 0] + 1)[suffix >= 0]
     return tree
 
 
@@ -303,8 +322,8 @@ def score(found: DataFrame, tree: Tree, roots: np.ndarray, total: int) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own, ends = _sequences(batch)
-            one, two = (before(own, ends, k, len(tree.symbols)) for k in (1, 2))
-            p = np.log10(tree.probability(tree.states(two, one), own, roots[own]))
+            states = tree.states([before(own, ends, k + 1, len(tree.symbols)) for k in range(len(tree.levels))]) if tree.levels else np.full(len(own), -1)
+            p = np.log10(tree.probability(states, own, roots[own]))
             sums = np.add.reduceat(p, np.concatenate([[0], ends[:-1]])) if len(ends) else np.zeros(0)
             at = batch.schema.get_field_index
             columns = [batch.column(at(c)) for c in ("doc_id", "held_out", "n_tokens", "n_known")]
@@ -330,8 +349,8 @@ def learn(docs: DataFrame, parts: int = 7, out: int = 2, block_bytes: int = BLOC
     words = materialize(blocks.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")), "suffixtree-words")
     size = words.agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()  # words of held-out rows alone have 0
     total, distinct = size["n"] or 0, size["v"]
-    least = max(LEAST, P_PAIR * total)
-    frequent = sorted(zip(*(c.to_pylist() for c in words.where(F.col("n") >= least).toArrow().columns)))  # at most 1 / P_PAIR words
+    least = floors(total)[1]
+    frequent = sorted(zip(*(c.to_pylist() for c in words.where(F.col("n") >= least).toArrow().columns)))  # at most PAIRS * sqrt(total) words
     symbols, n = [w for w, _ in frequent], np.array([x for _, x in frequent], dtype=np.float64)
     found = materialize(sequences(blocks, words, symbols, least, total, distinct), "suffixtree-sequences")
     return Model(found, grow(found, symbols, n, total, distinct), (n + 1) / (total + distinct + 1), total, distinct)
