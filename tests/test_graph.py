@@ -4,14 +4,19 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from weftgraph import options
 from weftgraph.graph import Graph
-from weftgraph.operators import components, fragment, matrix, navigate, pagerank, partition, simulation, traverse
+from weftgraph.operators import components, fragment, matrix, navigate, pagerank, partition, program, simulation, traverse
 from weftgraph.operators.order import numbered
 from weftgraph.sources import files
 from weftgraph.streaming.deletes import LiveSimulation
 
-LABELS = dict(zip(range(1, 14), "f yb sp yf f sp f yf yb f sp yf yb".split()))
-EDGES = [tuple(map(int, e.split(">"))) for e in "1>5 2>1 2>4 3>2 3>4 3>7 3>8 4>1 4>7 5>6 6>4 6>5 7>3 8>3 8>9 8>10 9>6 9>8 9>10 10>11 11>12 12>6 13>5 13>12".split()]
+# The sample graph's labels and edges, and its fragments' owners.
+LABELS = {1: "f", 2: "yb", 3: "sp", 4: "yf", 5: "f", 6: "sp", 7: "f", 8: "yf", 9: "yb", 10: "f", 11: "sp", 12: "yf", 13: "yb"}
+EDGES = [
+    (1, 5), (2, 1), (2, 4), (3, 2), (3, 4), (3, 7), (3, 8), (4, 1), (4, 7), (5, 6), (6, 4), (6, 5), (7, 3), (8, 3), (8, 9), (8, 10), (9, 6), (9, 8), (9, 10), (10, 11), (11, 12), (12, 6), (13, 5), (13, 12),
+]
+OWNERS = {1: 0, 2: 0, 3: 0, 4: 0, 5: 2, 6: 2, 7: 1, 8: 1, 9: 1, 10: 1, 11: 1, 12: 2, 13: 2}
 PATTERN = simulation.Pattern(((0, "yb"), (1, "yf"), (2, "f"), (3, "sp")), ((0, 1), (0, 2), (1, 2), (2, 3), (3, 1)))
 
 
@@ -52,7 +57,7 @@ def test_distances(g):
 
 
 def test_fragments(spark, g):
-    owner = spark.createDataFrame([(i, 0 if i < 5 else 1 if 7 <= i <= 11 else 2) for i in LABELS], "id long, pid int")
+    owner = spark.createDataFrame(sorted(OWNERS.items()), "id long, pid int")
     crossing = fragment.fragment_edges(g, owner).where("tag = 1").select("src", "dst")
     assert rows(crossing) == [(1, 5), (3, 7), (3, 8), (4, 7), (6, 4), (7, 3), (8, 3), (9, 6), (11, 12)]
     assert fragment.virtual_vertices(g, owner).count() == 10
@@ -101,9 +106,111 @@ def test_components_and_empty_graphs(spark, g):
     assert rows(navigate.degree(Graph(g.vertices, g.edges.limit(0))).where("degree > 0")) == []
 
 
-def test_live_simulation_under_deletes(spark, g):
-    live = LiveSimulation(g, PATTERN)
-    assert rows(live.apply(spark.createDataFrame([(5, 6)], "src long, dst long"))) == rows(simulation.simulation(navigate.remove_edges(g, spark.createDataFrame([(5, 6)], "src long, dst long")), PATTERN))
+def test_live_simulation_under_deletes_and_restarts(spark, g, tmp_path):
+    gone = lambda *e: spark.createDataFrame(list(e), "src long, dst long")
+    live = LiveSimulation(g, PATTERN, f"file://{tmp_path}/live")
+    assert rows(live.apply(gone((5, 6)), 0)) == rows(simulation.simulation(navigate.remove_edges(g, gone((5, 6))), PATTERN))
+    want = rows(simulation.simulation(navigate.remove_edges(g, gone((5, 6), (7, 3))), PATTERN))
+    again = LiveSimulation(g, PATTERN, f"file://{tmp_path}/live")  # as after a restart
+    assert again.version == 0 and rows(again.apply(gone((5, 6)), 0)) == rows(live.result)
+    assert rows(again.apply(gone((7, 3)), 1)) == want
+
+
+def test_live_simulation_on_a_stream(spark, g, tmp_path):
+    (tmp_path / "in").mkdir()
+    live = LiveSimulation(g, PATTERN, f"file://{tmp_path}/live")
+    stream = spark.readStream.schema("src long, dst long").json(f"file://{tmp_path}/in")
+    for k, edge in enumerate([(5, 6), (7, 3)]):
+        (tmp_path / "in" / f"{k}.json").write_text('{"src": %d, "dst": %d}' % edge)
+        run = live.attach(stream, f"file://{tmp_path}/checkpoint")
+        run.processAllAvailable()
+        run.stop()
+    assert live.version == 1
+    assert rows(live.result) == rows(simulation.simulation(navigate.remove_edges(g, spark.createDataFrame([(5, 6), (7, 3)], "src long, dst long")), PATTERN))
+
+
+def test_distances_against_brute_force(spark):
+    rng = random.Random(8)
+    edges = {(rng.randrange(14), rng.randrange(14)) for _ in range(20)}
+    near = {i: {b for a, b in edges if a == i} | {a for a, b in edges if b == i} for i in range(14)}
+    far = {}
+    for s in near:
+        level, seen = {s: 0}, [s]
+        for v in seen:
+            for w in sorted(near[v] - level.keys()):
+                level[w] = level[v] + 1
+                seen.append(w)
+        far[s] = level
+    graph = Graph(spark.createDataFrame([(i, "x") for i in range(14)], "id long, label string"), spark.createDataFrame(sorted(edges), "src long, dst long"))
+    assert dict(rows(traverse.eccentricity(graph, graph.vertices.select("id")))) == {s: max(x.values()) for s, x in far.items()}
+    assert traverse.diameter(graph).first()[0] == max(max(x.values()) for x in far.values())
+    found = {(i, c) for i, c in rows(components.connected_components(graph.edges))}
+    assert found == {(i, min(far[i])) for i in near if len(far[i]) > 1}
+    cyclic = {(a, b) for a, b in edges}
+    while True:
+        left = {(a, b) for a, b in cyclic if a in {y for _, y in cyclic} and b in {x for x, _ in cyclic}}
+        if left == cyclic:
+            break
+        cyclic = left
+    assert {tuple(r) for r in rows(traverse.cyclic_core(graph))} == cyclic
+
+
+def test_fragment_files_round_trip(spark, g, tmp_path):
+    owner = spark.createDataFrame(sorted(OWNERS.items()), "id long, pid int")
+    path = f"file://{tmp_path}/s"
+    files.write_fragments(g, owner, path, 3)
+    found = files.read_fragments(spark, path)
+    assert rows(found.graph.vertices) == sorted(LABELS.items()) and rows(found.graph.edges) == sorted(EDGES)
+    assert rows(found.borders) == rows(fragment.border(g, owner)) and rows(found.owner) == rows(fragment.virtual_vertices(g, owner))
+    assert rows(found.edges) == rows(fragment.fragment_edges(g, owner).select("pid", "src", "dst"))
+    assert found.vertices.groupBy("pid").count().orderBy("pid").collect()[0]["count"] == 4 + 4
+    (tmp_path / "s.p7.v").write_text("1\tother\n")
+    with pytest.raises(ValueError):
+        files.read_fragments(spark, path)
+
+
+def test_small_readers_and_writers(spark, tmp_path):
+    (tmp_path / "ids").write_text("3 4\n\n4 5")
+    assert rows(files.read_ids(spark, str(tmp_path / "ids"))) == [(3,), (4,), (5,)]
+    (tmp_path / "map").write_text("1\t7\n2\t8\n")
+    assert rows(files.read_map(spark, str(tmp_path / "map"))) == [(1, 7), (2, 8)]
+    (tmp_path / "map").write_text("1\t7\n1\t8\n")
+    with pytest.raises(ValueError):
+        files.read_map(spark, str(tmp_path / "map"))
+    (tmp_path / "mesh").write_text("2\n1 2 3\n2 3 4\n")
+    assert rows(files.read_mesh(spark, str(tmp_path / "mesh"))) == [(1, 1), (1, 2), (1, 3), (2, 2), (2, 3), (2, 4)]
+    cells = spark.createDataFrame([(0, 0, 1.5), (0, 3, 2.0), (1, 1, 4.0)], "row long, col long, val double")
+    files.write_matrix(cells, str(tmp_path / "matrix"))
+    assert rows(files.read_matrix(spark, str(tmp_path / "matrix"), header=False)) == rows(cells)
+    (tmp_path / "q.v").write_text("0\ta\n1\tb")
+    (tmp_path / "q.e").write_text("0\t1\n1\t0")
+    assert files.read_pattern(spark, str(tmp_path / "q")) == simulation.Pattern(((0, "a"), (1, "b")), ((0, 1), (1, 0)))
+    owner = spark.createDataFrame([(3, 1), (1, 0), (2, 2)], "id long, pid int")
+    files.write_partition(owner, str(tmp_path / "part"))
+    assert rows(files.read_partition(spark, str(tmp_path / "part"))) == rows(owner)
+    assert navigate.random_vertex(Graph(cells.select(F.col("row").alias("id"), F.lit("x").alias("label")), cells.select(F.col("row").alias("src"), F.col("col").alias("dst")))).count() == 1
+
+
+def test_options_and_programs(spark, g):
+    found = options.parse("# note\nparts = 4\n strategy=range\nassemble: false\n\nlist = a, b ,\n")
+    assert options.Options.of(found) == options.Options(strategy="range", parts=4, assemble=False)
+    assert options.value(found, "list", [], list) == ["a", "b"] and options.value(found, "missing", 7) == 7
+    with pytest.raises(ValueError):
+        options.value({"assemble": "maybe"}, "assemble", True)
+
+    @program.program
+    def heaviest(weights: dict) -> program.Program:
+        """The largest weight along any path into a vertex."""
+        weight = F.lit(0)
+        for k, w in weights.items():
+            weight = F.when(F.col("id") == k, w).otherwise(weight)
+        return program.Program(lambda: weight, lambda: F.col("value"), F.max, lambda v, m: F.greatest(v, m))
+
+    got = dict(rows(program.run(g, program.Query("heaviest", {"weights": {13: 9, 1: 5}}))))
+    assert got[13] == 9 and got[5] == 9 and got[1] == 9 and got[9] == 9
+    with pytest.raises(KeyError):
+        program.run(g, program.Query("nothing"))
+    assert fragment.owner(g, 3, "range").count() == 13
 
 
 def test_numbers_and_itemsets(spark):

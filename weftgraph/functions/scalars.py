@@ -59,3 +59,39 @@ def is_power_of_two(n: Column) -> Column:
 
 def floor_log2(n: Column) -> Column:
     return F.length(F.bin(n)) - 1
+
+
+def replaced_characters(text: Column, old: str, new: str) -> Column:
+    """Each character of old by the one in its place in new."""
+    return F.translate(text, old, new)
+
+
+def same_text(a: Column, b: Column, ignore_case: bool = False) -> Column:
+    return F.lower(a) == F.lower(b) if ignore_case else a == b
+
+
+def compared_from_end(a: Column, b: Column) -> Column:
+    """-1, 0 or 1: the order of two texts read backwards, by code points."""
+    x, y = F.reverse(a), F.reverse(b)
+    return F.when(x == y, 0).when(x < y, -1).otherwise(1)
+
+
+def enum_id(text: Column, names: dict[str, int], other: int = -1) -> Column:
+    """The number of a name."""
+    found = F.lit(other)
+    for name, number in names.items():
+        found = F.when(text == name, number).otherwise(found)
+    return found
+
+
+def ceil_log2(n: Column) -> Column:
+    """Halvings until nothing is left, less one: 0 for 1, and exact for powers of two."""
+    return floor_log2(n) + F.when(F.bit_count(n) > 1, 1).otherwise(0)
+
+
+def total(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double"))
+
+
+def scaled(alpha: float, a: Column) -> Column:
+    return F.transform(a, lambda x: alpha * x.cast("double"))

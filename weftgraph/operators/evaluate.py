@@ -33,3 +33,11 @@ def median_rfp(scored: DataFrame) -> DataFrame:
     half = (total["p"] + 1) // 2
     steps = _steps(scored).where((F.col("tp") >= half) & (F.col("tp") - F.col("p") < half))
     return steps.agg((F.max(F.col("fp") - F.col("n")) / max(total["n"], 1)).alias("median_rfp"))
+
+
+def roc_n(scored: DataFrame, most: int) -> DataFrame:
+    """The area up to ``most`` false positives, of the rectangle of all positives and the false ones met; steps are taken whole."""
+    total = scored.agg(F.count_if("positive").alias("p")).first()["p"]
+    met = _steps(scored).where(F.col("fp") - F.col("n") < most)
+    sums = met.agg(F.sum(F.col("n") * (F.col("tp") - F.col("p") / 2.0)).alias("a"), F.max("fp").alias("fp"))
+    return sums.select(F.when((F.col("fp") > 0) & F.lit(total > 0), F.col("a") / (F.lit(total) * F.col("fp"))).otherwise(0.0).alias("roc_n"))

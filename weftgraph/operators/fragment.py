@@ -27,6 +27,20 @@ def range_owner(g: Graph, k: int) -> DataFrame:
     return numbered(g.vertices.select("id"), [F.col("id")]).select("id", F.when(i < more * (small + 1), F.floor(i / (small + 1))).otherwise(late).cast("int").alias("pid"))
 
 
+STRATEGIES = ("range", "multilevel", "hash")
+
+
+def owner(g: Graph, k: int, strategy: str = "hash", **how) -> DataFrame:
+    """``(id, pid)`` by the named strategy; how: options of the multilevel one."""
+    if strategy == "multilevel":
+        from .partition import multilevel
+
+        return multilevel(g, k, **how)
+    if strategy not in STRATEGIES:
+        raise ValueError(f"{strategy} is none of {STRATEGIES}")
+    return hash_owner(g, k) if strategy == "hash" else range_owner(g, k)
+
+
 def owned_edges(g: Graph, owner: DataFrame) -> DataFrame:
     """``(src, dst, src_pid, dst_pid)``."""
     a, b = owner.select(F.col("id").alias("src"), F.col("pid").alias("src_pid")), owner.select(F.col("id").alias("dst"), F.col("pid").alias("dst_pid"))
@@ -86,6 +100,50 @@ def max_cut(g: Graph, owner: DataFrame) -> DataFrame:
     return _undirected(g, owner).where("src_pid <> dst_pid").groupBy("src_pid").count().agg(F.coalesce(F.max("count"), F.lit(0)).alias("max_cut"))
 
 
+def border_ratio(g: Graph, owner: DataFrame) -> DataFrame:
+    """``(pid, border_ratio)``: vertices at a crossing edge, of all that the fragment owns."""
+    ends = virtual_vertices(g, owner).groupBy("pid").agg(F.count("*").alias("b"))
+    return owner.groupBy("pid").agg(F.count("*").alias("n")).join(ends, "pid", "left").select("pid", (F.coalesce("b", F.lit(0)) / F.col("n")).alias("border_ratio"))
+
+
+def target_balance(owner: DataFrame, targets: list[float], weight: Column | None = None) -> DataFrame:
+    """``(pid, load)``: a part's share of the weight over its target share; parts without vertices have 0."""
+    spark = owner.sparkSession
+    w = F.lit(1.0) if weight is None else weight
+    want = spark.createDataFrame(list(enumerate(targets)), "pid int, target double")
+    total = owner.agg(F.sum(w).alias("all"))
+    # One row, and as many as there are parts.
+    parts = F.broadcast(want).join(owner.groupBy("pid").agg(F.sum(w).alias("w")), "pid", "left").crossJoin(F.broadcast(total))
+    return parts.select("pid", (F.coalesce("w", F.lit(0.0)) / (F.col("target") * F.col("all"))).alias("load"))
+
+
+def sized_volume(g: Graph, owner: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The communication volume with sizes(id, vsize) of what a vertex sends."""
+    sent = _undirected(g, owner).where("src_pid <> dst_pid").select(F.col("src").alias("id"), "dst_pid").distinct()
+    return sent.join(sizes, "id").agg(F.coalesce(F.sum("vsize"), F.lit(0)).alias("sized_volume"))
+
+
+def graph_fix(g: Graph) -> DataFrame:
+    """``(src, dst, w)`` in both directions: self loops out, parallel edges merged to the sum of their weights (1 each without ``w``), the larger weight of two directions."""
+    w = F.col("w") if "w" in g.edges.columns else F.lit(1.0)
+    ways = g.edges.where("src <> dst").select("src", "dst", w.alias("w")).groupBy("src", "dst").agg(F.sum("w").alias("w"))
+    once = ways.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.max("w").alias("w"))
+    return once.select(F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst"), "w"), F.struct(F.col("b").alias("src"), F.col("a").alias("dst"), "w"))).alias("e")).select("e.*")
+
+
+def mesh_owner(mesh: DataFrame, elements: DataFrame) -> DataFrame:
+    """``(id, pid)`` of nodes: the part of most of a node's elements(id, pid), the least of several."""
+    votes = mesh.distinct().join(elements.select(F.col("id").alias("element"), "pid"), "element").groupBy("node", "pid").agg(F.count("*").alias("n"))
+    return votes.groupBy("node").agg(F.min(F.struct((-F.col("n")).alias("less"), "pid")).alias("b")).select(F.col("node").alias("id"), "b.pid")
+
+
+def element_balance(mesh: DataFrame, elements: DataFrame, k: int) -> DataFrame:
+    """The largest part's elements over the mean, and the same of the nodes that a part's elements touch."""
+    touched = mesh.distinct().join(elements.select(F.col("id").alias("element"), "pid"), "element").select("pid", "node").distinct()
+    of = lambda rows, name: rows.groupBy("pid").count().agg((F.max("count") * k / F.sum("count")).alias(name))
+    return of(elements, "element_balance").crossJoin(of(touched, "node_balance"))  # a row each
+
+
 def balance(owner: DataFrame, k: int, weight: Column | None = None) -> DataFrame:
     w = F.lit(1.0) if weight is None else weight
     parts = owner.groupBy("pid").agg(F.sum(w).alias("w"))

@@ -136,3 +136,34 @@ def itemsets(baskets: DataFrame, least: int, size: int) -> DataFrame:
         found = longer.groupBy("items").agg(F.count("*").alias("support")).where(F.col("support") >= least)
         level = longer.join(found.select("items"), "items", "left_semi")
     return found
+
+
+def itemsets_between(baskets: DataFrame, least: int, most: int, shortest: int, longest: int, with_baskets: bool = False) -> DataFrame:
+    """``(items, support)``, with their baskets on demand: sets of ``shortest`` to ``longest`` items that ``least`` to ``most`` baskets have.
+
+    A single item of more than ``most`` baskets is left out of all sets; longer
+    sets have no more baskets than their items.
+    """
+    b = baskets.distinct()
+    frequent = b.groupBy("item").agg(F.count("*").alias("n")).where(F.col("n").between(least, most))
+    b = b.join(frequent.select("item"), "item", "left_semi")
+    level, out = b.select("basket", F.array("item").alias("items"), F.col("item").alias("last")), None
+    for size in range(1, longest + 1):
+        if size > 1:
+            level = level.join(b, "basket").where(F.col("item") > F.col("last")).select("basket", F.array_append("items", F.col("item")).alias("items"), F.col("item").alias("last"))
+        counts = [F.count("*").alias("support"), *([F.sort_array(F.collect_list("basket")).alias("baskets")] if with_baskets else [])]
+        found = level.groupBy("items").agg(*counts).where(F.col("support") >= least)
+        level = level.join(found.select("items"), "items", "left_semi")
+        if size >= shortest:
+            out = found if out is None else out.unionByName(found)
+    return out
+
+
+def top_columns(m: DataFrame, k: int) -> DataFrame:
+    """The k largest cells of each column; ties by row."""
+    return topk_plus(m, k, float("inf"), "col")
+
+
+def merged(m: DataFrame, rows: DataFrame) -> DataFrame:
+    """``(color, row, col, val)``: a matrix split by rows(row, color)."""
+    return m.join(rows, "row").select("color", "row", "col", "val")

@@ -34,6 +34,16 @@ def contains_vertex(g: Graph, id: int) -> bool:
     return not g.vertices.where(F.col("id") == id).isEmpty()
 
 
+def contains_vertices(g: Graph, ids: DataFrame) -> DataFrame:
+    """ids(id) with ``present``."""
+    there = g.vertices.select("id").distinct().withColumn("present", F.lit(True))
+    return ids.join(there, "id", "left").select("id", F.coalesce("present", F.lit(False)).alias("present"))
+
+
+def vertex(g: Graph, id: int) -> DataFrame:
+    return g.vertices.where(F.col("id") == id)
+
+
 def contains_edge(g: Graph, pairs: DataFrame) -> DataFrame:
     """pairs(src, dst) with ``present``."""
     there = g.edges.distinct().withColumn("present", F.lit(True))
@@ -76,6 +86,33 @@ def subgraph(g: Graph, ids: DataFrame) -> Graph:
     return Graph(g.vertices.join(keep, "id", "left_semi"), edges.select("src", "dst"))
 
 
+def extract_part(g: Graph, owner: DataFrame, pid: int) -> Graph:
+    """The subgraph that one part's vertices induce."""
+    return subgraph(g, owner.where(F.col("pid") == pid))
+
+
+def split(g: Graph, owner: DataFrame) -> DataFrame:
+    """``(pid, src, dst)``: every part's induced subgraph at once."""
+    from .fragment import owned_edges
+
+    return owned_edges(g, owner).where("src_pid = dst_pid").select(F.col("src_pid").alias("pid"), "src", "dst")
+
+
+def members(owner: DataFrame) -> DataFrame:
+    """``(pid, first, id)``: ids in order of their parts, and where each part begins in that order."""
+    from .order import numbered
+
+    placed = numbered(owner.select("id", "pid"), [F.col("pid"), F.col("id")], "place")
+    return placed.join(placed.groupBy("pid").agg(F.min("place").alias("first")), "pid").select("pid", "first", "place", "id")
+
+
+def permuted(df: DataFrame, seed: int = 0, key: str = "id") -> DataFrame:
+    """Adds ``place``: a random order, the same for the same seed."""
+    from .order import numbered
+
+    return numbered(df, [F.xxhash64(key, F.lit(seed)), F.col(key)], "place")
+
+
 def reorder(g: Graph, places: DataFrame) -> Graph:
     """Rename every vertex by places(id, place)."""
     p = places.select("id", "place")

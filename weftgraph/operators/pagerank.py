@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from ..runtime import materialize
+from ..runtime import discard, materialize
 
 
 def message_driven(g: Graph, updates: int = 9, first: float = 0.5) -> DataFrame:
@@ -19,28 +19,46 @@ def message_driven(g: Graph, updates: int = 9, first: float = 0.5) -> DataFrame:
     rank = materialize(g.vertices.select("id", F.lit(first).alias("rank"), F.lit(True).alias("active")).join(out.withColumnRenamed("src", "id"), "id", "left"), "pagerank")
     for _ in range(updates):
         sent = rank.where("active").select(F.col("id").alias("src"), "rank").join(links, "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("d")).alias("m"))
-        teleport = F.when(F.col("d") > 0, 0.15 / F.col("d")).otherwise(0.0)
+        last, teleport = rank, F.when(F.col("d") > 0, 0.15 / F.col("d")).otherwise(0.0)
         rank = materialize(rank.join(sent, "id", "left").select("id", F.when(F.col("m").isNull(), F.col("rank")).otherwise(teleport + 0.85 * F.col("m")).alias("rank"), F.col("m").isNotNull().alias("active"), "d"), "pagerank")
+        discard(last)
     return rank.select("id", "rank")
 
 
 def random_walk(g: Graph, damping: float = 0.8, iterations: int = 10, restart: DataFrame | None = None, eps: float | None = None) -> DataFrame:
-    """``(id, rank)``; restart(id, r) sums to one, by default it is even.  With eps it stops when no rank moves by more."""
+    """``(id, rank, iterations)``; restart(id, r) sums to one, by default it is even.  With eps it stops when no rank moves by more."""
     n = g.vertices.count()
     if not n:
-        return g.vertices.select("id", F.lit(0.0).alias("rank"))
+        return g.vertices.select("id", F.lit(0.0).alias("rank"), F.lit(0).alias("iterations"))
     out = g.edges.groupBy("src").agg(F.count("*").alias("d"))
     links = materialize(g.edges.join(out, "src"), "walk-links")
     even = g.vertices.select("id", F.lit(1.0 / n).alias("r")) if restart is None else g.vertices.join(restart, "id", "left").select("id", F.coalesce("r", F.lit(0.0)).alias("r"))
     rank = materialize(even.join(out.select(F.col("src").alias("id"), "d"), "id", "left").select("id", "r", F.col("d").isNull().alias("sink"), F.col("r").alias("rank"), F.lit(1.0).alias("moved")), "walk")
-    for _ in range(iterations):
+    done = 0
+    for done in range(1, iterations + 1):
         lost = rank.where("sink").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
         into = rank.select(F.col("id").alias("src"), "rank").join(links, "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("d")).alias("m"))
         new = damping * (F.lit(lost) * F.col("r") + F.coalesce("m", F.lit(0.0))) + (1 - damping) * F.col("r")
+        last = rank
         rank = materialize(rank.join(into, "id", "left").select("id", "r", "sink", new.alias("rank"), F.abs(new - F.col("rank")).alias("moved")), "walk")
+        discard(last)
         if eps is not None and rank.agg(F.max("moved")).first()[0] < eps:
             break
-    return rank.select("id", "rank")
+    return rank.select("id", "rank", F.lit(done).alias("iterations"))
+
+
+def random_restart(g: Graph, seed: int = 0) -> DataFrame:
+    """``(id, r)``: a random restart vector that sums to one, the same for the same seed."""
+    raw = g.vertices.select("id", (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 20)) + 1).cast("double").alias("x"))
+    total = raw.agg(F.sum("x")).first()[0] or 1.0
+    return raw.select("id", (F.col("x") / total).alias("r"))
+
+
+def largest_step(g: Graph, ranks: DataFrame) -> DataFrame:
+    """``(src, dst, step)``: the edge whose ends' ranks are furthest apart; ties by ends."""
+    a, b = ranks.select(F.col("id").alias("src"), F.col("rank").alias("a")), ranks.select(F.col("id").alias("dst"), F.col("rank").alias("b"))
+    steps = g.edges.join(a, "src").join(b, "dst").select("src", "dst", F.abs(F.col("a") - F.col("b")).alias("step"))
+    return steps.agg(F.min(F.struct((-F.col("step")).alias("less"), "src", "dst")).alias("m")).where("m is not null").select("m.src", "m.dst", (-F.col("m.less")).alias("step"))
 
 
 def personalized(g: Graph, source: int, damping: float = 0.8, iterations: int = 10) -> DataFrame:

@@ -1,8 +1,11 @@
 """Graph simulation: the greatest relation between a pattern's nodes and vertices.
 
 (u, v) is in it if the labels agree and every child of u has a match among the
-children of v.  Refinement removes pairs until none has to go.  Patterns are
-lists that the caller writes down, so they are sent to all executors.
+children of v.  Refinement removes pairs until none has to go.  It counts once
+how many children of v match each child node; a round then only looks at the
+edges into the pairs that the last round removed, takes them off the counts,
+and removes what has none left.  Patterns are lists that the caller writes
+down, so they are sent to all executors.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from ..runtime import discard, materialize
+from ..runtime import materialize
 
 
 @dataclass(frozen=True)
@@ -35,16 +38,24 @@ def simulation(g: Graph, pattern: Pattern, limit: int = 100_000) -> DataFrame:
     labels = g.vertices.join(q, "label", "left_semi").select("id")
     # Only edges between candidates can witness anything.
     edges = materialize(g.edges.join(labels.select(F.col("id").alias("src")), "src", "left_semi").join(labels.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst").distinct(), "simulation-edges")
-    n = state.count()
-    for _ in range(limit):
-        witness = edges.join(state, edges["dst"] == state["v"]).select(F.col("u").alias("u2"), F.col("src").alias("v")).distinct()
-        bad = state.join(f, "u").join(witness, ["u2", "v"], "left_anti").select("u", "v").distinct()
-        last, state = state, materialize(state.join(bad, ["u", "v"], "left_anti"), "simulation")
-        discard(last)
-        now = state.count()
-        if now == n:
-            return state
-        n = now
+    hits = edges.join(state, edges["dst"] == state["v"]).groupBy(F.col("u").alias("u2"), F.col("src").alias("v")).agg(F.count("*").alias("n"))
+    hits = materialize(hits.join(F.broadcast(spark.createDataFrame([(c,) for c in sorted({b for _, b in pattern.edges})], "u2 long")), "u2", "left_semi"), "simulation-hits")
+    wanted = state.join(f, "u")
+    removed = materialize(wanted.join(hits, ["u2", "v"], "left_anti").select("u", "v").distinct(), "simulation-gone")
+    gone, lost = removed, None
+    for turn in range(limit):
+        if removed.isEmpty():
+            return materialize(state.join(gone, ["u", "v"], "left_anti"), "simulation")
+        less = materialize(edges.join(removed, edges["dst"] == removed["v"]).groupBy(F.col("u").alias("u2"), F.col("src").alias("v")).agg(F.count("*").alias("less")), "simulation-less")
+        # What was lost before matters only where something is lost now.
+        lost = less if lost is None else lost.unionByName(less)
+        keys = less.select("u2", "v")
+        total = lost.join(keys, ["u2", "v"], "left_semi").groupBy("u2", "v").agg(F.sum("less").alias("less"))
+        empty = total.join(hits, ["u2", "v"]).where("less >= n").select("u2", "v")
+        removed = materialize(wanted.join(empty, ["u2", "v"], "left_semi").select("u", "v").distinct().join(gone, ["u", "v"], "left_anti"), "simulation-gone")
+        gone = gone.unionByName(removed)
+        if turn % 16 == 15:  # few and large files again
+            gone, lost = materialize(gone, "simulation-gone"), materialize(lost.groupBy("u2", "v").agg(F.sum("less").alias("less")), "simulation-less")
     raise RuntimeError(f"no fixpoint within {limit} rounds")
 
 

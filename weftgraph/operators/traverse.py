@@ -21,9 +21,11 @@ def rounds(frontier: DataFrame, seen: DataFrame, step: Callable[[DataFrame], Dat
     seen, n = materialize(seen, "seen"), 0
     while (limit is None or n < limit) and not frontier.isEmpty():
         frontier = materialize(step(frontier).join(seen, keys, "left_anti"), "frontier")
-        last, seen = seen, materialize(seen.unionByName(frontier), "seen")
-        discard(last)
+        seen = seen.unionByName(frontier)  # only the new rows are written
         n += 1
+        if n % 16 == 0:
+            old, frontier, seen = seen, materialize(frontier, "frontier"), materialize(seen, "seen")
+            discard(old)
     return seen
 
 
@@ -56,29 +58,46 @@ def ego(g: Graph, center: int, bound: int) -> Graph:
     return Graph(g.vertices.join(near.select("id"), "id", "left_semi"), touching.distinct())
 
 
+def ordered(levels: DataFrame) -> DataFrame:
+    """``(id, place)``: a breadth-first order of one source's levels, by distance and id."""
+    from .order import numbered
+
+    return numbered(levels.select("id", "dist"), [F.col("dist"), F.col("id")], "place").select("id", "place")
+
+
+def distances(g: Graph, edges: DataFrame, source: int) -> DataFrame:
+    """``(id, dist)`` of every vertex; -1 where there is no way."""
+    return g.vertices.select("id").join(sssp(edges, source), "id", "left").select("id", F.coalesce("dist", F.lit(-1.0)).alias("dist"))
+
+
 def sssp(edges: DataFrame, source: int, limit: int = 10_000) -> DataFrame:
     """``(id, dist)`` over edges(src, dst, w) with w >= 0, only what can be reached."""
     spark = edges.sparkSession
-    best = materialize(spark.createDataFrame([(source, 0.0)], "id long, dist double"), "sssp")
-    front = best
-    for _ in range(limit):
+    front = materialize(spark.createDataFrame([(source, 0.0)], "id long, dist double"), "sssp")
+    log = front  # a round adds what got shorter; the least entry of an id holds
+    for turn in range(limit):
+        best = log.groupBy("id").agg(F.min("dist").alias("dist"))
         tried = front.join(edges, front["id"] == edges["src"]).groupBy(F.col("dst").alias("id")).agg(F.min(F.col("dist") + F.col("w")).alias("new"))
         front = materialize(tried.join(best, "id", "left").where("dist is null or new < dist").select("id", F.col("new").alias("dist")), "sssp-front")
         if front.isEmpty():
-            return best
-        best = materialize(best.join(front, "id", "left_anti").unionByName(front), "sssp")
+            return materialize(best, "sssp")
+        log = log.unionByName(front)
+        if turn % 16 == 15:
+            log = materialize(log.groupBy("id").agg(F.min("dist").alias("dist")), "sssp")
     raise RuntimeError(f"no fixpoint within {limit} rounds")
 
 
 def cyclic_core(g: Graph) -> DataFrame:
-    """Edges left when vertices without in-edges are peeled off again and again."""
+    """Edges left when vertices without in-edges or without out-edges are peeled off again and again."""
     edges, n = materialize(g.edges.distinct(), "peel"), -1
     while True:
         now = edges.count()
         if now in (n, 0):
             return edges
         n = now
-        edges = materialize(edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"), "peel")
+        fed, feeding = edges.select(F.col("dst").alias("src")).distinct(), edges.select(F.col("src").alias("dst")).distinct()
+        last, edges = edges, materialize(edges.join(fed, "src", "left_semi").join(feeding, "dst", "left_semi").select("src", "dst"), "peel")
+        discard(last)
 
 
 def has_cycles(g: Graph) -> DataFrame:

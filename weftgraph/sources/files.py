@@ -6,11 +6,15 @@ global order of file, offset and line; nothing is collected.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..graph import Graph
+from ..operators import fragment
 from ..operators.order import numbered
+from ..operators.simulation import Pattern
 from ..runtime import materialize
 
 
@@ -21,13 +25,65 @@ def read_ve(spark: SparkSession, path: str) -> Graph:
     return Graph(vertices, read.schema("src long, dst long").csv(f"{path}.e"))
 
 
-def read_fragments(spark: SparkSession, path: str) -> tuple[Graph, DataFrame]:
-    """All ``path.p<k>.v`` and ``.e`` as one graph, and ``fragment_edges(pid, src, dst)``."""
-    read = spark.read.option("sep", "\t").option("mode", "FAILFAST")
-    pid = F.regexp_extract(F.input_file_name(), r"\.p(\d+)\.e$", 1).cast("int")
-    edges = read.schema("src long, dst long").csv(f"{path}.p*.e").select(pid.alias("pid"), "src", "dst")
-    vertices = read.schema("id long, label string").csv(f"{path}.p*.v").distinct()
-    return Graph(vertices, edges.select("src", "dst").distinct()), edges
+@dataclass(frozen=True)
+class Fragments:
+    """graph: all fragments together; edges(pid, src, dst) and vertices(pid, id, label) of each, border rows included;
+    borders(pid, id, kind) with kind in or out; owner(id, pid): the owners of border vertices."""
+
+    graph: Graph
+    vertices: DataFrame
+    edges: DataFrame
+    borders: DataFrame
+    owner: DataFrame
+
+
+def _numbered_files(spark: SparkSession, path: str, ending: str, schema: str) -> DataFrame:
+    """``path.p<k>.<ending>``, files or folders, with ``pid``."""
+    pid = F.regexp_extract(F.input_file_name(), rf"\.p(\d+)\.{ending}(?:/[^/]*)?$", 1).cast("int")
+    read = spark.read.option("sep", "\t").option("mode", "FAILFAST").option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
+    return read.schema(schema).csv(f"{path}.p*.{ending}").withColumn("pid", pid)
+
+
+def read_fragments(spark: SparkSession, path: str) -> Fragments:
+    """All ``path.p<k>.v``, ``.e``, ``.i`` and ``.o`` with ``path.vvp``; a vertex with two labels raises."""
+    edges = _numbered_files(spark, path, "e", "src long, dst long").select("pid", "src", "dst")
+    vertices = _numbered_files(spark, path, "v", "id long, label string").select("pid", "id", "label")
+    named = vertices.select("id", "label").distinct()
+    if not named.groupBy("id").count().where("count > 1").isEmpty():
+        raise ValueError("a vertex has two labels")
+    kinds = [_numbered_files(spark, path, end, "id long").select("pid", "id", F.lit(kind).alias("kind")) for end, kind in (("i", "in"), ("o", "out"))]
+    owner = read_map(spark, f"{path}.vvp").select(F.col("key").alias("id"), F.col("value").cast("int").alias("pid"))
+    return Fragments(Graph(named, edges.select("src", "dst").distinct()), vertices, edges, kinds[0].unionByName(kinds[1]), owner)
+
+
+def write_fragments(g: Graph, owner: DataFrame, path: str, parts: int) -> None:
+    """What ``read_fragments`` reads: a folder for each file, of ``parts`` fragments."""
+    edges = materialize(fragment.fragment_edges(g, owner).select("pid", "src", "dst"), "fragments-edges")
+    borders = materialize(fragment.border(g, owner), "fragments-borders")
+    inside = owner.select("pid", "id").unionByName(borders.select("pid", "id")).distinct().join(g.vertices, "id").select("pid", "id", "label")
+    inside = materialize(inside, "fragments-vertices")
+    tables = {"v": inside, "e": edges, "i": borders.where("kind = 'in'").select("pid", "id"), "o": borders.where("kind = 'out'").select("pid", "id")}
+    for k in range(parts):
+        for ending, rows in tables.items():
+            write_tsv(rows.where(F.col("pid") == k).drop("pid"), f"{path}.p{k}.{ending}")
+    write_tsv(fragment.virtual_vertices(g, owner), f"{path}.vvp")
+
+
+def read_pattern(spark: SparkSession, path: str) -> Pattern:
+    """``path.v`` and ``path.e``; a pattern is written by hand and small."""
+    g = read_ve(spark, path).check()
+    return Pattern(tuple((r["id"], r["label"]) for r in g.vertices.orderBy("id").collect()), tuple((r["src"], r["dst"]) for r in g.edges.distinct().orderBy("src", "dst").collect()))
+
+
+def read_partition(spark: SparkSession, path: str) -> DataFrame:
+    """``(id, pid)``: a line for each vertex in order, ids from 1."""
+    lines = spark.read.text(path).where(F.trim("value") != "").select(F.monotonically_increasing_id().alias("at"), F.trim("value").cast("int").alias("pid"))
+    return numbered(materialize(lines, "lines"), [F.col("at")], "place").select((F.col("place") + 1).alias("id"), "pid")
+
+
+def write_partition(owner: DataFrame, path: str) -> None:
+    """The parts alone, in order of the ids, in one file (the format has no other)."""
+    owner.repartition(1).sortWithinPartitions("id").select(F.col("pid").cast("string")).write.text(path)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
