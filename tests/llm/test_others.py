@@ -3,6 +3,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -188,8 +189,6 @@ def test_toxicity_odd_rows(spark, odd):
     labels = spark.createDataFrame([(1, None, None), (3, 0, 1)], "doc_id long, quality int, toxic int")
     found = toxicity.score(odd, toxicity.train(odd, labels)).collect()
     assert len(found) == len(ODD) and {r.score for r in found} == {0.0}
-    import numpy as np
-
     u, t = np.array([0.3, -1.0, 2.0]), np.array([[0.1, -0.2], [0.4, 0.3]])
     total, ones = 0.0, np.zeros(3)
     for y in [(a, b, c) for a in (0, 1) for b in (0, 1) for c in (0, 1)]:
@@ -213,6 +212,54 @@ def test_packing_odd_rows(odd):
     assert sorted(by) == list(range(len(by)))
 
 
+def test_packing_ids_against_the_library(spark):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_file("word_bpe_49k.json")
+    rng = random.Random(6)
+    texts = [None, "", "Hello  wörld\n\tx", "漢字 😀 don't 12345"] + [" ".join(rng.choice(["alpha", "Beta9", "γάμμα", "x" * 40, "1,000.5", "\n\n", "it's"]) for _ in range(rng.randrange(1500))) for _ in range(12)]
+    found = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).collect()
+    plain = Tokenizer.from_file(path)
+    for i, t in enumerate(texts):
+        ids = [*plain.encode(t or "", add_special_tokens=False).ids, 1]
+        pieces_ = sorted((r.start, r.length, r.ids_crc32, r.doc_tokens) for r in found if r.doc_id == i)
+        at = 0
+        for start, length, crc, total in pieces_:
+            assert start == at and total == len(ids)
+            assert crc == zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids[start : start + length]))
+            at += length
+        assert at == len(ids)
+    assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), path).count() == 0
+
+
+def test_column_generation_meets_its_gap():
+    rng = random.Random(2)
+    counts = {rng.randrange(1, 257): rng.randrange(1, 5000) for _ in range(150)}
+    found = packing.plan(counts, 256)
+    sizes = np.array(sorted(counts))
+    columns, used = packing.column_generation(sizes, np.array([float(counts[k]) for k in sizes]), 256)
+    assert (sizes @ columns <= 256 + 1e-9).all() and (columns @ used >= [counts[k] - 1e-6 for k in sizes]).all()
+    # No pattern is worth more than the gap allows: duals from the basis, priced over all patterns.
+    duals = np.linalg.solve(columns.T, np.ones(len(sizes)))
+    assert packing.price(duals, sizes, 256)[0] <= 1 / (1 - packing.GAP) + 1e-6
+    assert used.sum() * (1 - packing.GAP) <= found.sequences <= used.sum() + len(counts)
+    for k, n in counts.items():
+        assert sum(high - low for c, low, high, _, _ in found.ranges if c == k) == n
+
+
+def test_warc_of_an_empty_table_and_a_large_page(spark):
+    empty = spark.createDataFrame([], "page_id long, url string, html string")
+    assert warc.read_archives(spark, warc.archive(empty)).count() == 0
+    rng = random.Random(1)
+    big = "".join(chr(rng.randrange(32, 0x2000)) for _ in range(200_000))  # over one step of 64 KB when compressed
+    rows = spark.createDataFrame([(1, "u", big), (2, "u", "small")], "page_id long, url string, html string")
+    assert {(r.page_id, r.payload_bytes) for r in warc.read_archives(spark, warc.archive(rows)).collect()} == {(1, len(big.encode())), (2, 5)}
+
+
+def test_simhash_of_an_empty_table(spark):
+    assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 def test_kdtree_against_brute_force_over_many_shards(spark):
     rng = random.Random(4)
     centres = [[rng.uniform(-1, 1) for _ in range(6)] for _ in range(12)]

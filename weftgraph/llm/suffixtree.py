@@ -39,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import materialize, small_batches
+from ..runtime import discard, materialize, small_batches
 
 DEPTH, CONTEXTS, PAIRS = 3, 8, 128
 MIN_KL, MIN_GAIN, LEAST, DISCOUNT = 0.01, 10.0, 3, 0.7
@@ -184,12 +184,14 @@ def _sequences(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pairs_of(tree: Tree, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(context, symbol, n) for the candidates of the last level; symbol -1 stands for all rarer tokens."""
+    """(key, n) for the candidates of the last level: ``context * base + symbol + 1``, of symbols alone, and -1 - context with all that follows it."""
     start, depth = len(tree.symbols), len(tree.levels)
 
     def out(parts: list[np.ndarray]) -> pa.RecordBatch:
         both, n = np.unique(np.concatenate(parts), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(both // tree.base), pa.array(both % tree.base - 1), pa.array(n)], names=["context", "symbol", "n"])
+        all_of = np.bincount(both // tree.base, weights=n)
+        seen, named = np.flatnonzero(all_of), both % tree.base > 0
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([both[named], -1 - seen])), pa.array(np.concatenate([n[named], all_of[seen].astype(np.int64)]))], names=["key", "n"])
 
     held, size = [], 0
     for batch in batches:
@@ -258,13 +260,14 @@ def grow(sequences: DataFrame, symbols: list[str], n: np.ndarray, total: int, di
         def run(batches: Iterator[pa.RecordBatch], tree: Tree = tree) -> Iterator[pa.RecordBatch]:
             return _pairs_of(tree, batches)
 
-        found = materialize(train.mapInArrow(run, "context long, symbol long, n long").groupBy("context", "symbol").agg(F.sum("n").alias("n")), f"suffixtree-{depth}")
-        by, k = (c.to_numpy() for c in found.groupBy("context").agg(F.sum("n").alias("n")).toArrow().columns)  # as many rows as candidates
+        # As many rows as candidates and pairs to be stored.
+        found = train.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where((F.col("key") < 0) | (F.col("n") >= least))
+        both, k = (c.to_numpy() for c in found.toArrow().columns)
         totals = np.zeros(len(keys), dtype=np.int64)
-        totals[by] = k
-        context, symbol, k = (c.to_numpy() for c in found.where((F.col("symbol") >= 0) & (F.col("n") >= least)).toArrow().columns)
-        order = np.lexsort((symbol, context))
-        context, symbol, k = context[order], symbol[order], k[order].astype(np.float64)
+        totals[-1 - both[both < 0]] = k[both < 0]
+        order = np.argsort(both[both >= 0])
+        both, k = both[both >= 0][order], k[both >= 0][order].astype(np.float64)
+        context, symbol = both // tree.base, both % tree.base - 1
         tree = _grown(tree, context, symbol, k, totals, roots)
         often = (k >= floor) & (symbol != end)
         words = np.column_stack([words[context[often]], symbol[often]])
@@ -353,6 +356,8 @@ def learn(docs: DataFrame, parts: int = 7, out: int = 2, block_bytes: int = BLOC
     frequent = sorted(zip(*(c.to_pylist() for c in words.where(F.col("n") >= least).toArrow().columns)))  # at most PAIRS * sqrt(total) words
     symbols, n = [w for w, _ in frequent], np.array([x for _, x in frequent], dtype=np.float64)
     found = materialize(sequences(blocks, words, symbols, least, total, distinct), "suffixtree-sequences")
+    discard(blocks)
+    discard(words)
     return Model(found, grow(found, symbols, n, total, distinct), (n + 1) / (total + distinct + 1), total, distinct)
 
 
