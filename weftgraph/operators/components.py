@@ -15,14 +15,14 @@ from pyspark.sql import functions as F
 from ..runtime import discard, materialize
 
 
-def _star(pairs: DataFrame, keep_larger: bool) -> DataFrame:
-    """pairs(u, v): link v, where asked for only the v above u, to u's least neighbour."""
+def _star(pairs: DataFrame, keep_larger: bool) -> tuple[DataFrame, DataFrame]:
+    """pairs(u, v): link v, where asked for only the v above u, to u's least neighbour; and a table to be dropped after use."""
     least = materialize(pairs.groupBy("u").agg(F.min("v").alias("lo")).select("u", F.least("u", "lo").alias("lo")), "cc-least")
     joined = pairs.join(least, "u")
     if keep_larger:
-        return joined.where("v > u").select(F.col("v").alias("u"), F.col("lo").alias("v"))
+        return joined.where("v > u").select(F.col("v").alias("u"), F.col("lo").alias("v")), least
     moved = joined.where("v <> lo").select(F.col("v").alias("u"), F.col("lo").alias("v"))
-    return moved.unionByName(least.select("u", F.col("lo").alias("v")))
+    return moved.unionByName(least.select("u", F.col("lo").alias("v"))), least
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
@@ -40,10 +40,12 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
             break
         mark = (seen["n"], seen["h"])
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = materialize(_star(both, True).distinct(), "cc-large")
-        last, now = now, materialize(_star(large, False).where("u <> v").distinct(), "cc-small")
-        discard(last)
-        discard(large)
+        linked, upper = _star(both, True)
+        large = materialize(linked.distinct(), "cc-large")
+        linked, lower = _star(large, False)
+        last, now = now, materialize(linked.where("u <> v").distinct(), "cc-small")
+        for done in (last, large, upper, lower):
+            discard(done)
     else:
         raise RuntimeError(f"no fixpoint within {max_rounds} rounds")
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
