@@ -73,3 +73,17 @@ def test_a_row_without_an_id_is_not_held_out(spark, tmp_path):
     spark.createDataFrame([(None, "a b"), (1, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert {r.held_out for r in queries.op1_toxicity(spark, str(tmp_path)).where("doc_id is null").collect()} == {False}
+
+
+def test_the_document_score_settles_where_classes_are_all_but_apart(monkeypatch):
+    n, rng = 2000, np.random.default_rng(5)
+    y = np.repeat([1, 0], n)
+    expected = np.exp(np.where(y == 1, rng.normal(2.2, 0.5, 2 * n), rng.normal(-1.2, 1.1, 2 * n)))
+    some = np.where(y == 1, 7, np.clip(np.log(np.expm1(expected)), -7, 7))
+    traits = np.column_stack([np.log(expected + 1e-3), some, np.sqrt(expected / rng.choice([60, 300, 900], 2 * n))])
+    planted = iter(traits)
+    monkeypatch.setattr(toxicity, "document_traits", lambda p: next(planted))
+    scale = toxicity.fit([f"word{i}" for i in range(2 * n)], y.tolist(), 0.1, steps=1).scale
+    z = (traits * scale[1:]).sum(axis=1) + scale[0]
+    over = 1 / (1 + np.exp(-z)) >= toxicity.THRESHOLD
+    assert over[y == 1].mean() > 0.99 and over[y == 0].mean() < 0.01

@@ -239,16 +239,37 @@ def fit(texts: list[str], labels: list[int], rate: float, steps: int = 400, seed
     y = np.array(labels, dtype=float)
     cost = np.where(y == 1, rate / y.mean(), (1 - rate) / (1 - y.mean()))
     x = np.column_stack([np.ones(len(y)), traits])
-    scale = np.zeros(4)
-    for _ in range(40):  # Newton steps with a ridge
-        p = 1 / (1 + np.exp(-np.clip((x * scale).sum(axis=1), -30, 30)))
-        g = (x * (cost * (p - y))[:, None]).sum(axis=0) + 0.5 * np.array([0, *scale[1:]])
-        h = np.einsum("ni,n,nj->ij", x, cost * p * (1 - p) + 1e-9, x) + np.diag([1e-3, 0.5, 0.5, 0.5])
-        move = np.linalg.solve(h, g)
-        scale = scale - np.clip(move, -3, 3)
+    scale = _logistic(x, y, cost)
     return Field(field.weights, trans, scale)
 
 
+def _logistic(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 0.5) -> np.ndarray:
+    """The weights of least penalised cost; x: a column of ones, then the traits.
+
+    Newton's steps, halved until the cost falls: where classes are all but
+    apart, whole ones overshoot from one side to the other and never settle.
+    The cost is convex, so what no step lowers is its minimum.
+    """
+    weights, penalty = np.zeros(x.shape[1]), np.append(0, np.full(x.shape[1] - 1, ridge))
+
+    def total(w: np.ndarray) -> float:
+        z = (x * w).sum(axis=1)
+        return float((cost * (np.logaddexp(0, z) - y * z)).sum() + (penalty * w * w).sum() / 2)
+
+    now = total(weights)
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip((x * weights).sum(axis=1), -500, 500)))
+        g = (x * (cost * (p - y))[:, None]).sum(axis=0) + penalty * weights
+        h = np.einsum("ni,n,nj->ij", x, cost * p * (1 - p), x) + np.diag(np.append(1e-6, penalty[1:]))
+        move, step = np.linalg.solve(h, g), 1.0
+        while step > 1e-9 and not (after := total(weights - step * move)) < now:
+            step /= 2
+        if step <= 1e-9 or now - after < 1e-12 * abs(now):
+            break
+        weights, now = weights - step * move, after
+    return weights
+
+
 def _gradient(slots: np.ndarray, live: np.ndarray, tags: np.ndarray, weights: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of the mean negative log likelihood of windows."""
     n, length = live.shape
