@@ -9,11 +9,15 @@ names the earliest message that has it and the last one before the quote, or
 else the least other conversation's earliest, so a line which very many
 messages share stays one row and a join never multiplies.  Each named message
 is weighed by all lines of the passage that it holds (a whole passage
-outweighs its lines); the original is the one with most, then the earliest,
-of the same conversation, or else of any other.  Not named is only a message
-whose every line and two lines in a row also occur in its conversation both
-earlier and between it and the quote (or, of another conversation, earlier or
-in a lower one).  A message replies to the original of its first passage of depth
+outweighs its lines).  The original is the one with most, then the earliest,
+of the same conversation, or else of any other, among all messages and not
+only the named ones: what may weigh as much as the best of these must hold one
+of the passage's rarer hashes, those that are left when its commonest ones, of
+less weight together than that best, are put aside; all messages that hold one
+are weighed as well.  Messages that hold the same of all that is quoted weigh
+alike, so the earliest of a conversation stands for them, and for quotes of
+other conversations that of the two least conversations.
+A message replies to the original of its first passage of depth
 one that lies in the same conversation; a thread begins at a message that
 replies to none.  Messages are ordered by the turn at which their thread
 begins, then by turn; a line like "... wrote:" directly above a quote is left
@@ -77,6 +81,35 @@ def _hashes(lines: Column) -> tuple[Column, Column]:
     return F.transform(lines, lambda x: F.md5(x.cast("binary"))), F.transform(pairs, lambda x: F.md5(F.concat(F.lit("\x01"), x).cast("binary")))
 
 
+def _weighed(named: DataFrame, quoted: DataFrame, offers: DataFrame, passage: list[str]) -> DataFrame:
+    """Each named message with all that it holds of the passage."""
+    held = _side(named, quoted, passage, "inner").join(offers.select(F.col("conv_id").alias("c"), "at", F.col("hash").alias("h")), (F.col("hash") == F.col("h")) & F.col("source_conv").eqNullSafe(F.col("c")) & (F.col("source_at") == F.col("at")))
+    return held.groupBy(*passage, "out", "source_conv", "source_at").agg(F.sum("weight").alias("votes"))
+
+
+def _further(votes: DataFrame, named: DataFrame, quoted: DataFrame, offers: DataFrame, passage: list[str]) -> DataFrame:
+    """All messages besides the named ones that may weigh as much as the best of these, but for later ones that hold the same."""
+    marks = [F.sum(F.xxhash64(F.lit(seed), "hash").cast("decimal(38,0)")).alias(f"set{seed}") for seed in (1, 2)]
+    kinds = ["set1", "set2"]
+    firsts = offers.groupBy("conv_id", "at").agg(*marks).groupBy(*kinds, "conv_id").agg(F.min("at").alias("at"))
+    firsts = materialize(firsts, "quotes-kinds")
+    least = materialize(firsts.groupBy(*kinds).agg(F.min(F.struct("conv_id", "at")).alias("l")), "quotes-least-kinds")
+    other = firsts.join(least, kinds).where(~F.col("conv_id").eqNullSafe(F.col("l.conv_id"))).groupBy(*kinds).agg(F.min(F.struct("conv_id", "at")).alias("l"))
+    here = materialize(_side(offers, firsts.select("conv_id", "at"), ["conv_id", "at"], "left_semi"), "quotes-here")
+    there = materialize(_side(offers, least.unionByName(other).select("l.conv_id", "l.at"), ["conv_id", "at"], "left_semi"), "quotes-there")
+    # The commonest hashes that together weigh less than the best are put aside; two lines in a row weigh nothing themselves.
+    bound = votes.groupBy(*passage, "out").agg(F.max("votes").alias("bound"))
+    common = Window.partitionBy(*passage).orderBy(F.desc("n"), "hash").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = _side(quoted.where("weight > 0").join(here.groupBy("hash").agg(F.count("*").alias("n")), "hash"), bound, passage, "inner")
+    rare = materialize(ranked.withColumn("so_far", F.sum("weight").over(common)).where("so_far >= bound").select(*passage, "out", "hash"), "quotes-rare")
+    source = lambda rows: rows.select(F.col("conv_id").alias("source_conv"), F.col("at").alias("source_at"), F.col("hash").alias("h"))
+    same, own = F.col("hash") == F.col("h"), F.col("conv_id").eqNullSafe(F.col("source_conv"))
+    inside = rare.where("out = 0").join(source(here), same & own & (F.col("source_at") < F.coalesce("turn", F.lit(NO_TURN))))
+    outside = rare.where("out = 1").join(source(there), same & ~own)
+    found = inside.unionByName(outside).drop("hash", "h").distinct()
+    return _without(found, named, [*passage, "out", "source_conv", "source_at"]).select(*named.columns)
+
+
 def _sources(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Passages (one row each) and what they quote: ``conv_id, turn, uid, no, depth, source_conv, source_turn``."""
     lines, pairs = _hashes(F.col("p.lines"))
@@ -107,10 +140,10 @@ def _sources(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     outside = F.when(~F.col("any.conv_id").eqNullSafe(F.col("conv_id")), F.col("any")).otherwise(F.col("next"))
     outside = quoted.join(anywhere, "hash").withColumn("other", outside).where("other is not null").select(*passage, F.lit(1).alias("out"), F.col("other.conv_id").alias("source_conv"), F.col("other.first").alias("source_at")).distinct()
     outside = _without(outside, inside, passage)
-    # Each message that a hash names is weighed by all that it holds of the passage.
     named = materialize(inside.unionByName(outside), "quotes-named")
-    held = _side(named, quoted, passage, "inner").join(offers.select(F.col("conv_id").alias("c"), "at", F.col("hash").alias("h")), (F.col("hash") == F.col("h")) & F.col("source_conv").eqNullSafe(F.col("c")) & (F.col("source_at") == F.col("at")))
-    votes = held.groupBy(*passage, "out", "source_conv", "source_at").agg(F.sum("weight").alias("votes"))
+    votes = materialize(_weighed(named, quoted, offers, passage), "quotes-votes")
+    further = materialize(_further(votes, named, quoted, offers, passage), "quotes-further")
+    votes = votes.unionByName(_weighed(further, quoted, offers, passage))
     best = F.min(F.struct((-F.col("votes")).alias("less"), "source_conv", "source_at", "out")).alias("best")
     turn = F.when(F.col("best.source_at") != NO_TURN, F.col("best.source_at")).alias("source_turn")
     return quoted, votes.groupBy(*passage).agg(best).select(*passage, F.col("best.out").alias("out"), F.col("best.source_conv").alias("source_conv"), turn)
