@@ -1,6 +1,12 @@
 import math
+import os
+import subprocess
+import sys
 import zlib
 from collections import Counter
+from pathlib import Path
+
+import pyarrow as pa
 
 from weftgraph.llm import suffixtree
 
@@ -111,3 +117,34 @@ def test_scores_against_brute_force(spark):
 
 def test_empty_table(spark):
     assert suffixtree.language_model(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+PEAK = """
+import random, sys
+import pyarrow as pa, pyspark
+from weftgraph.llm import suffixtree
+pyspark.TaskContext = type("Context", (), {"get": classmethod(lambda c: c), "partitionId": classmethod(lambda c: 0)})
+rng, words = random.Random(1), [f"word{i}" for i in range(20_000)]
+def batches():
+    for at in range(0, 8192, 512):
+        texts = [" ".join(rng.choices(words, k=200)) for _ in range(512)]
+        yield pa.RecordBatch.from_pydict({"doc_id": list(range(at, at + 512)), "held_out": [False] * 512, "text": texts})
+for _ in suffixtree._blocks(1 << 40)(batches()):
+    pass
+print(pa.default_memory_pool().max_memory() / (8192 * 200 * 10))
+"""
+
+
+def test_a_block_takes_little_more_than_its_texts():
+    root = Path(suffixtree.__file__).parents[2]
+    peak = subprocess.run([sys.executable, "-c", PEAK], env=os.environ | {"PYTHONPATH": str(root)}, capture_output=True, text=True, check=True)
+    assert float(peak.stdout) < 3
+
+
+def test_words_are_numbered_alike_however_texts_are_dealt():
+    texts = ["A b\tC", None, "", "c d a", " \x0b", "B e"]
+    words, codes, ends = suffixtree.tokenize(pa.array(texts))
+    for cut in range(7):
+        w, c, e = suffixtree.tokenize(pa.chunked_array([pa.array(texts[:cut], pa.string()), pa.array(texts[cut:], pa.string())]))
+        assert (w, c.tolist(), e.tolist()) == (words, codes.tolist(), ends.tolist())
+    assert words.to_pylist() == ["a", "b", "c", "d", "e", " "] and suffixtree.tokenize(pa.chunked_array([], pa.string()))[1].tolist() == []

@@ -39,11 +39,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import discard, materialize, small_batches
+from ..runtime import discard, materialize, shuffles_dropped, small_batches
 
 DEPTH, CONTEXTS, PAIRS = 3, 8, 128
 MIN_KL, MIN_GAIN, LEAST, DISCOUNT = 0.01, 10.0, 3, 0.7
 BLOCK_BYTES = 16_000_000
+#: Tokens that are counted at once: two workers share what an executor's JVM leaves.
+PART = 1_000_000
 #: Stands for the end of a text among words, and can't be one.
 END = " "
 NONE = -1
@@ -53,19 +55,26 @@ _NULL_ID = -(1 << 63)
 # ---- blocks of texts as arrays ----------------------------------------------
 
 
-def tokenize(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+def tokenize(texts: pa.Array | pa.ChunkedArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct words (the last is the end mark), the place of each token in them, one past each text's end."""
-    plain = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
-    lists = pc.ascii_split_whitespace(plain)
-    flat, owner = lists.flatten(), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-    real = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
-    coded = flat.filter(pa.array(real)).dictionary_encode()
-    ends = (np.bincount(owner[real], minlength=len(lists)) + 1).cumsum()
-    codes = np.full(int(ends[-1]) if len(ends) else 0, len(coded.dictionary), dtype=np.int32)
+    kind = pa.dictionary(pa.int32(), pa.large_string())
+    parts, sizes = [], []
+    for chunk in texts.chunks if isinstance(texts, pa.ChunkedArray) else [texts]:  # split words take many times a text's bytes
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(chunk.cast(pa.large_string()), "")))
+        flat = lists.flatten()
+        real = pc.not_equal(flat, "")
+        parts.append(flat.filter(real).dictionary_encode())
+        owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        sizes.append(np.bincount(owner[real.to_numpy(zero_copy_only=False)], minlength=len(lists)) + 1)
+        del lists, flat, real, owner
+    coded = pa.chunked_array(parts, kind).unify_dictionaries()
+    words = coded.chunk(0).dictionary if coded.num_chunks else pa.array([], pa.large_string())
+    ends = np.concatenate(sizes).cumsum() if sizes else np.zeros(0, dtype=np.int64)
+    codes = np.full(int(ends[-1]) if len(ends) else 0, len(words), dtype=np.int32)
     inner = np.ones(len(codes), dtype=bool)
     inner[ends - 1] = False
-    codes[inner] = coded.indices.to_numpy(zero_copy_only=False)
-    return pa.concat_arrays([coded.dictionary, pa.array([END], pa.large_string())]), codes, ends
+    codes[inner] = np.concatenate([c.indices.to_numpy(zero_copy_only=False) for c in coded.chunks]) if coded.num_chunks else 0
+    return pa.concat_arrays([words, pa.array([END], pa.large_string())]), codes, ends
 
 
 def before(codes: np.ndarray, ends: np.ndarray, steps: int, start: int) -> np.ndarray:
@@ -89,14 +98,17 @@ def _blocks(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
         return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.array([name] * rows) if c == "block" else pa.nulls(rows, t) for c, t in kinds.items()], names=list(kinds))
 
     def one(name: str, batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = pa.Table.from_batches(batches).combine_chunks()
-        words, codes, ends = tokenize(whole.column("text").combine_chunks())
+        whole = pa.Table.from_batches(batches)
+        words, codes, ends = tokenize(whole.column("text"))
+        whole = whole.select(["doc_id", "held_out"])
+        batches.clear()  # the texts
         out = whole.column("held_out").to_numpy().astype(bool)
         learned = np.repeat(~out, np.diff(ends, prepend=0))
         n = np.bincount(codes[learned], minlength=len(words))
         for at in range(0, len(words), 65536):
             part = words[at : at + 65536].cast(pa.string())
             yield row(name, len(part), word=part, place=pa.array(np.arange(at, at + len(part), dtype=np.int32)), n=pa.array(n[at : at + len(part)].astype(np.int64)))
+        del words
         ids = pc.fill_null(whole.column("doc_id"), _NULL_ID).to_numpy()
         blobs = {"doc_ids": ids.astype(np.int64), "held": out, "ends": ends.astype(np.int64), "codes": codes}
         yield row(name, 1, n=pa.array([len(ends)], pa.int64()), **{k: pa.array([pa.compress(v.tobytes(), "zstd", asbytes=True)], pa.binary()) for k, v in blobs.items()})
@@ -111,8 +123,10 @@ def _blocks(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
             if size >= most:
                 yield from one(f"{task}-{count}", held)
                 count, held, size = count + 1, [], 0
+                pa.default_memory_pool().release_unused()
         if held:
             yield from one(f"{task}-{count}", held)
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -199,7 +213,7 @@ def _pairs_of(tree: Tree, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
         at = tree.places([before(own, ends, k + 1, start) for k in range(depth)])[-1]
         held.append(at[at >= 0] * tree.base + own[at >= 0] + 1)
         size += len(held[-1])
-        if size > 4_000_000:
+        if size > PART:
             yield out(held)
             held, size = [], 0
     if size:
@@ -309,9 +323,13 @@ def sequences(blocks: DataFrame, words: DataFrame, symbols: list[str], least: fl
             out_of, codes = np.frombuffer(pa.decompress(row["held"], row["rows"], "zstd"), bool), np.frombuffer(pa.decompress(row["codes"], int(ends[-1]) * 4, "zstd"), np.int32)
             starts, own = np.concatenate([[0], ends[:-1]]), number[codes]
             base = root[codes]
-            sums = [np.add.reduceat(x, starts) for x in ((n > 0).astype(np.int64)[codes], base, np.where(own < 0, base, 0))]
+            sums = [np.add.reduceat(base, starts)]
+            base[own >= 0] = 0
+            sums = [np.add.reduceat((n > 0)[codes], starts, dtype=np.int64), *sums, np.add.reduceat(base, starts)]
+            del base, codes
             columns = [pa.array(ids, mask=ids == _NULL_ID), pa.array(out_of), pa.array(np.diff(ends, prepend=0)), *map(pa.array, sums), pa.ListArray.from_arrays(pa.array(np.append(starts, ends[-1]).astype(np.int32)), pa.array(own))]
             out.append(pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in SEQUENCES.split(", ")]))
+        pa.default_memory_pool().release_unused()
         return pa.Table.from_batches(out)
 
     streams = blocks.where("word is null").select("block", F.col("n").alias("rows"), "doc_ids", "held", "ends", "codes")
@@ -347,6 +365,11 @@ class Model:
 
 def learn(docs: DataFrame, parts: int = 7, out: int = 2, block_bytes: int = BLOCK_BYTES) -> Model:
     small_batches(docs.sparkSession, 512)
+    with shuffles_dropped(docs.sparkSession):
+        return _learn(docs, parts, out, block_bytes)
+
+
+def _learn(docs: DataFrame, parts: int, out: int, block_bytes: int) -> Model:
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held(F.col("doc_id"), parts, out).alias("held_out"), F.col("text").cast("string").alias("text"))
     blocks = materialize(plain.mapInArrow(_blocks(block_bytes), BLOCKS), "suffixtree-blocks")
     words = materialize(blocks.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")), "suffixtree-words")
