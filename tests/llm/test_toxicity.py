@@ -87,3 +87,22 @@ def test_the_document_score_settles_where_classes_are_all_but_apart(monkeypatch)
     z = (traits * scale[1:]).sum(axis=1) + scale[0]
     over = 1 / (1 + np.exp(-z)) >= toxicity.THRESHOLD
     assert over[y == 1].mean() > 0.99 and over[y == 0].mean() < 0.01
+
+
+def test_the_driver_holds_the_sample_and_not_the_fit(spark):
+    import tracemalloc
+
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(BAD if k == 5 and i % 2 else WORDS) for k in range(60)) for i in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, None, i % 2) for i in range(300)], "doc_id long, quality int, toxic int")
+    tracemalloc.start()
+    try:
+        field = toxicity.train(docs, labels)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 3_000_000  # of texts there are 100,000 characters; the gradients alone take more
+    rows = sorted((i, t, i % 2) for i, t in enumerate(texts))
+    same = toxicity.fit([r[1] for r in rows], [r[2] for r in rows], 0.5)
+    assert np.array_equal(field.weights, same.weights) and np.array_equal(field.trans, same.trans) and np.array_equal(field.scale, same.scale)
