@@ -97,6 +97,20 @@ def test_partition_beats_hashing_and_balances(spark):
     assert fragment.balance(owner, 3).first()[0] < 1.35
 
 
+def test_a_level_contracts_hubs(spark):
+    """Matching by pairs took at most a vertex for each hub; so a level kept nearly all vertices and contraction stalled."""
+    rng = random.Random(5)
+    shared = [(1000 + i, h, 1.0) for i in range(1000) for h in rng.sample(range(20), 3)]
+    single = [(3000 + i, 5000, 1.0) for i in range(400)]  # leaves of one hub
+    edges = spark.createDataFrame([(min(a, b), max(a, b), w) for a, b, w in shared + single], "src long, dst long, ew double")
+    vertices = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("w", F.lit(1.0))
+    match = partition._match(vertices, edges, 100.0, 1)
+    sizes = [r["count"] for r in match.groupBy("coarse_id").count().collect()]
+    assert sum(sizes) == match.select("id").distinct().count() == 1421 and len(sizes) < 700 and max(sizes) < 200
+    coarse = match.where("coarse_id >= 3000 and coarse_id <= 5000 and id >= 3000").select("coarse_id").distinct().count()
+    assert coarse < 100
+
+
 def test_components_and_empty_graphs(spark, g):
     assert {c for _, c in rows(components.connected_components(g.edges))} == {1}
     empty = Graph(g.vertices.limit(0), g.edges.limit(0))
