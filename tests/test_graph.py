@@ -169,6 +169,26 @@ def test_distances_against_brute_force(spark):
     assert {tuple(r) for r in rows(traverse.cyclic_core(graph))} == cyclic
 
 
+def test_few_searches_bound_all_distances(spark, monkeypatch):
+    """A search from every vertex held as many rows as there are pairs."""
+    held, search = [], traverse.bfs
+
+    def counted(edges, sources, bound=None):
+        found = search(edges, sources, bound)
+        held.append(found.count())
+        return found
+
+    monkeypatch.setattr(traverse, "bfs", counted)
+    n = 600  # two stars of stars, a pair and a lone vertex
+    edges = [(i, 1000 + i % 7) for i in range(n)] + [(1000 + i, 2000 + i % 2) for i in range(7)] + [(3000, 3001)]
+    ids = sorted({x for e in edges for x in e} | {4000})
+    graph = Graph(spark.createDataFrame([(i, "x") for i in ids], "id long, label string"), spark.createDataFrame(edges, "src long, dst long"))
+    want = {i: 4 if i < 1000 else 3 if i < 2000 else 2 if i < 3000 else 1 if i < 4000 else 0 for i in ids}
+    assert dict(rows(traverse.eccentricity(graph, graph.vertices.select("id")))) == want
+    assert traverse.diameter(graph).first()[0] == 4
+    assert sum(held) < 40 * n
+
+
 def test_fragment_files_round_trip(spark, g, tmp_path):
     owner = spark.createDataFrame(sorted(OWNERS.items()), "id long, pid int")
     path = f"file://{tmp_path}/s"

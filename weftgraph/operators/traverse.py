@@ -10,9 +10,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..graph import Graph
 from ..runtime import discard, materialize
+from .components import connected_components
 
 
 def rounds(frontier: DataFrame, seen: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[str], limit: int | None) -> DataFrame:
@@ -39,14 +41,51 @@ def bfs(edges: DataFrame, sources: DataFrame, bound: int | None = None) -> DataF
     return rounds(start, start, step, ["source", "id"], bound)
 
 
+def _bounded(g: Graph, sources: DataFrame, all_of_them: bool, most: int = 64) -> DataFrame:
+    """``(id, low, high)``: bounds of the eccentricity of the sources in the undirected view, equal if all_of_them, else equal wherever a diameter may be.
+
+    A search from s bounds every vertex v that it reaches: from below by their distance and by how much further s has to
+    go than that, from above by the sum.  Searches start where the bounds are furthest apart, at the largest upper and
+    the least lower ones of each component in turn, and end when nothing is open; the results are exact.  Trees and
+    graphs of the world take a few searches.  Where every vertex needs its own, as on a ring, the time is quadratic, but
+    no more than ``most`` searches a component are held at once.
+    """
+    edges = materialize(g.undirected(), "far-edges")
+    parts = materialize(connected_components(edges), "far-parts")
+    wanted = sources.select("id").distinct().join(parts, "id")
+    state = materialize(wanted.select("id", "component", F.lit(0).cast("long").alias("low"), F.lit((1 << 62)).cast("long").alias("high")), "far")
+    wide = 2
+    while True:
+        left = state.where("low < high")
+        if not all_of_them:
+            top = state.agg(F.max("low")).first()[0]
+            left = left.where(F.col("high") > F.lit(top or 0))
+        # Two lists of each component: the largest upper bounds and the least lower bounds; unlike ones first.
+        kinds = left.select("id", "component", F.explode(F.array(F.struct(F.lit(0).alias("kind"), (-F.col("high")).alias("key")), F.struct(F.lit(1).alias("kind"), F.col("low").alias("key")))).alias("k"))
+        at = Window.partitionBy("component", "k.kind").orderBy("k.key", F.xxhash64("id", F.lit(wide)), "id")
+        picked = materialize(kinds.withColumn("r", F.row_number().over(at)).where(F.col("r") <= wide // 2).select("id").distinct(), "far-picked")
+        if picked.isEmpty():
+            break
+        found = bfs(edges, picked)
+        far = found.groupBy("source").agg(F.max("dist").cast("long").alias("ecc"))
+        met = found.join(far, "source").groupBy("id").agg(F.max(F.greatest(F.col("dist").cast("long"), F.col("ecc") - F.col("dist"))).alias("l"), F.min(F.col("ecc") + F.col("dist")).alias("h"), F.max(F.when(F.col("source") == F.col("id"), F.col("ecc"))).alias("own"))
+        low, high = F.greatest("low", F.coalesce("own", "l", F.lit(0))), F.least("high", F.coalesce("own", "h", "high"))
+        last, state = state, materialize(state.join(met, "id", "left").select("id", "component", low.alias("low"), high.alias("high")), "far")
+        for done in (last, found, picked):
+            discard(done)
+        wide = min(2 * wide, most)
+    alone = sources.select("id").distinct().join(parts, "id", "left_anti").select("id", F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("high"))
+    return state.select("id", "low", "high").unionByName(alone)
+
+
 def eccentricity(g: Graph, sources: DataFrame) -> DataFrame:
     """``(id, eccentricity)`` on the undirected view; what can't be reached doesn't count."""
-    return bfs(g.undirected(), sources).groupBy(F.col("source").alias("id")).agg(F.max("dist").cast("long").alias("eccentricity"))
+    return _bounded(g, sources, True).select("id", F.col("low").alias("eccentricity"))
 
 
 def diameter(g: Graph) -> DataFrame:
-    """The longest shortest path: a search from every vertex, so for small graphs."""
-    return eccentricity(g, g.vertices.select("id")).agg(F.max("eccentricity").alias("diameter"))
+    """The longest shortest path."""
+    return _bounded(g, g.vertices, False).agg(F.max("low").alias("diameter"))
 
 
 def ego(g: Graph, center: int, bound: int) -> Graph:
