@@ -189,6 +189,54 @@ def test_few_searches_bound_all_distances(spark, monkeypatch):
     assert sum(held) < 40 * n
 
 
+def test_many_edges_are_dealt_before_they_meet(g):
+    """A task's map held all rows of a file's split, and of a partition that grew with the table."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    many = Graph(g.vertices, g.edges, 8_000_000)
+    for found in (many.once(), many.undirected(), fragment.owned_edges(Graph(g.vertices, many.once()), fragment.hash_owner(g, 3))):
+        assert "REPARTITION_BY_NUM" in plan(found)
+    assert "REPARTITION_BY_NUM" not in plan(g.once()) and rows(many.undirected()) == rows(g.undirected())
+
+
+def test_mesh_pairs_of_a_node_in_many_elements(spark, monkeypatch):
+    """All pairs of a node came from one task."""
+    monkeypatch.setattr(fragment, "_SHARE", 5)
+    cells = [(e, 0) for e in range(23)] + [(e, 1 + e % 4) for e in range(23)] + [(30, 9), (31, 9), (30, 9)]
+    mesh = spark.createDataFrame(cells, "element long, node long")
+    want = sorted({(a, b) for a, x in cells for b, y in cells if x == y and a < b})
+    assert rows(fragment.mesh_dual(mesh)) == want
+    assert rows(fragment.mesh_dual(mesh, 2)) == sorted((a, b) for a, b in want if b < 23 and a % 4 == b % 4)
+
+
+def test_a_long_chain_needs_few_rounds(spark, monkeypatch):
+    """The least id went one vertex a round, and a chain lost two vertices a round."""
+    n, written = 400, []
+    write = traverse.materialize
+    monkeypatch.setattr(traverse, "materialize", lambda df, tag: written.append(tag) or write(df, tag))
+    vertices = spark.range(n).select("id", F.lit("x").alias("label"))
+    chain = spark.range(n - 1).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    assert rows(program.run(Graph(vertices, chain), program.Query("least_id", rounds=20))) == [(i, 0) for i in range(n)]
+    assert not traverse.has_cycles(Graph(vertices, chain)).first()[0] and len(written) < 60
+    closed = chain.unionByName(spark.createDataFrame([(n - 1, 7)], "src long, dst long"))
+    assert traverse.has_cycles(Graph(vertices, closed)).first()[0]
+
+
+def test_links_are_lists(spark):
+    """A row for each edge was dealt again in each round."""
+    edges = spark.range(1, 10_001).select(F.lit(0).cast("long").alias("src"), F.col("id").alias("dst")).union(spark.createDataFrame([(5, 0), (6, 0)], "src long, dst long"))
+    out, links = pagerank._links(edges)
+    assert rows(out) == [(0, 10_000), (5, 1), (6, 1)] and links.count() == 5
+    assert rows(links.select("src", F.explode("to"))) == rows(edges)
+
+
+def test_a_scaled_matrix_is_computed_once(spark):
+    """The cells were computed for the rows, for the columns and for the result."""
+    m = spark.createDataFrame([(i, i % 3, 2.0) for i in range(9)] + [(0, 1, 4.0)], "row long, col long, val double")
+    for how in ("idf", "idf2"):
+        found = matrix.scale(m, how)
+        assert found.count() == 10 and found.inputFiles() and all("/scale-" in f for f in found.inputFiles())
+
+
 def test_fragment_files_round_trip(spark, g, tmp_path):
     owner = spark.createDataFrame(sorted(OWNERS.items()), "id long, pid int")
     path = f"file://{tmp_path}/s"
